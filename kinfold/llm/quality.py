@@ -195,7 +195,7 @@ def _prune(rule: Rule, bad: list[dict], good: list[dict]) -> Rule:
     return best
 
 
-def learn(rows: list[tuple[dict, int]], names=FEATURES, precision: float = 0.9, support: float = 0.01) -> DecisionList:
+def learn(rows: list[tuple[dict, int]], names=FEATURES, precision: float = 0.95, support: float = 0.01) -> DecisionList:
     """Sequential covering over (statistics, quality) rows; quality 0 is to be rejected.
 
     Every third row prunes, the others grow. A rule stays if it covers at least `support` of the rejected rows (3 at
@@ -217,18 +217,26 @@ def learn(rows: list[tuple[dict, int]], names=FEATURES, precision: float = 0.9,
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DecisionList:
-    """The decision list from at most max_rows labelled documents, chosen by a hash of doc_id; null labels don't count."""
+    """The decision list from at most max_rows labelled documents, chosen by a hash of doc_id.
+
+    Null labels don't count, nor do documents that fail the base anyway.
+    """
     chosen = (
         labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
         .select("doc_id", F.col("quality").cast("int").alias("_y"))
         .orderBy(F.xxhash64("doc_id"), "doc_id", "_y")
         .limit(max_rows)
     )
-    rows = with_statistics(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "_").select("doc_id", "_y", *[F.col("_stats")[n].alias(n) for n in FEATURES])
+    value = lambda n: F.col("_stats")[n]
+    rows = with_statistics(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "_").where(~base_failed(value)).select("doc_id", "_y", *[F.col("_stats")[n].alias(n) for n in FEATURES])
     found = sorted((r.asDict() for r in rows.collect()), key=lambda r: (r["doc_id"], r["_y"]))
     return learn([(r, r["_y"]) for r in found])
 
 
+def base_failed(value) -> Column:
+    return (value("words") < 20) | (100 * value("n_repeat_words") > 30 * value("words"))
+
+
 def apply_rules(docs: DataFrame, rules: DecisionList) -> DataFrame:
     """docs with `_q`: a struct of the base counts, base_failed, rule (the first that rejects, or null) and kept.
 
@@ -236,7 +244,7 @@ def apply_rules(docs: DataFrame, rules: DecisionList) -> DataFrame:
     """
     s = with_statistics(docs, "_q_")
     value = lambda n: F.col("_q_stats")[n]
-    failed = (value("words") < 20) | (100 * value("n_repeat_words") > 30 * value("words"))
+    failed = base_failed(value)
     rule = rules.column(value)
     return s.withColumn(
         "_q",
