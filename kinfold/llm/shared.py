@@ -64,7 +64,7 @@ class Pending:
     def __init__(self, folder: str, name: str):
         self.uri, self.temp = f"{folder}/{name}", f"{folder}/_tmp-{uuid.uuid4().hex}-{name}"
         self.fs, self.path = _fs(self.temp)
-        self.out = self.fs.open_output_stream(self.path)
+        self.out = self.fs.open_output_stream(self.path, compression=None)
 
     def write(self, data: bytes) -> None:
         self.out.write(data)
