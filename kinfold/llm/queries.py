@@ -53,3 +53,10 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
   CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
 FROM f
 """
+
+
+@query
+def op4_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import neardup
+
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
