@@ -60,3 +60,10 @@ def op4_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import neardup
 
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import lm
+
+    return lm.score_documents(table(spark, sf_dir, "documents"))

@@ -71,7 +71,11 @@ class Pending:
 
     def commit(self) -> str:
         self.out.close()
+        from pyarrow import fs as afs
+
         fs, final = _fs(self.uri)
+        if fs.get_file_info(final).type != afs.FileType.NotFound:  # of an earlier attempt
+            fs.delete_file(final)
         fs.move(self.path, final)
         return self.uri
 
