@@ -29,26 +29,21 @@ MANIFEST = pa.schema([("file", pa.string()), ("part", pa.int32()), ("first", pa.
 
 
 def with_revisits(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
-    """page_id, url, html (null: empty), digest, and refers_to: the response's page_id where the row is a revisit.
+    """Page rows (page_id, url, html, digest; null url or html: empty) and mark rows (page_id, digest, refers_to; html null).
 
-    Rows with an equal page_id and payload are written each; null page_ids come first and never are referred to. The join is on
-    digests that occur twice, so single pages pass by it; a digest with many pages is pre-aggregated and its join can be split.
+    A mark says that the page's payload of that digest is a revisit of another page. Marks come from ids and digests alone, so
+    payloads are shuffled once, when both kinds are sorted. Rows with an equal page_id and payload are written each; null
+    page_ids come first and are never referred to. A digest with many pages is pre-aggregated and its join can be split.
     """
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
         F.coalesce(F.col("url"), F.lit("")).alias("url"),
         F.coalesce(F.col("html"), F.lit("")).alias("html"),
     ).withColumn("digest", F.sha2("html", 256))
-    firsts = (
-        rows.where(F.octet_length("html") >= least)
-        .groupBy("digest")
-        .agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-        .where("n > 1")
-        .select(F.col("digest").alias("d"), "first")
-    )
-    # a page that isn't the first of its payload refers to it; of rows that repeat the first page_id all are responses
-    joined = rows.join(firsts, rows["digest"] == firsts["d"], "left")
-    return joined.select("page_id", "url", "html", "digest", F.when(F.col("page_id") != F.col("first"), F.col("first")).alias("refers_to"))
+    long_ = rows.where(F.octet_length("html") >= least).select("page_id", "digest")
+    firsts = long_.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("d"), "first")
+    marks = long_.join(firsts, F.col("digest") == F.col("d")).where("page_id <> first").select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "digest", F.col("first").alias("refers_to")).distinct()
+    return rows.withColumn("refers_to", F.lit(None).cast("long")).unionByName(marks)
 
 
 def record(page_id, url: str, payload: bytes, digest: str, refers_to) -> bytes:
@@ -87,13 +82,22 @@ def write(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, level: in
     spark = pages.sparkSession
     shared.make_dir(folder)
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = with_revisits(pages, least).repartitionByRange(n, F.col("page_id").asc_nulls_first()).sortWithinPartitions(F.col("page_id").asc_nulls_first(), "url", "digest")
+    ordered = with_revisits(pages, least).repartitionByRange(n, F.col("page_id").asc_nulls_first()).sortWithinPartitions(
+        F.col("page_id").asc_nulls_first(), F.col("refers_to").asc_nulls_last(), "url", "digest"
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, done = uuid.uuid4().hex, []
         out, first, records, size, digest = None, 0, 0, 0, None
+        marked: tuple[int | None, dict[str, int]] = (None, {})
         for b in batches:
             for page_id, url, html, sha, refers_to in zip(*(b.column(k).to_pylist() for k in ("page_id", "url", "html", "digest", "refers_to"))):
+                if html is None:  # a mark comes before the page's rows
+                    if marked[0] != page_id:
+                        marked = (page_id, {})
+                    marked[1][sha] = refers_to
+                    continue
+                refers_to = marked[1].get(sha) if page_id is not None and marked[0] == page_id else None
                 if out is None:
                     name = f"{task}-{len(done):05d}.warc.gz"
                     out, first, records, size, digest = shared.Pending(folder, name), page_id, 0, 0, hashlib.sha256()
@@ -116,13 +120,18 @@ def write(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, level: in
     return found
 
 
-def members(data: bytes) -> Iterator[bytes]:
-    """The records of an archive, one after the other."""
-    rest = memoryview(data)
-    while len(rest):
-        d = zlib.decompressobj(31)
-        yield d.decompress(rest) + d.flush()
-        rest = rest[len(rest) - len(d.unused_data) :]
+def members(data: bytes, step: int = 1 << 16) -> Iterator[bytes]:
+    """The records of an archive, one after the other; it is fed in small steps, as what follows a member is copied."""
+    view, at = memoryview(data), 0
+    while at < len(view):
+        d, out = zlib.decompressobj(31), []
+        while not d.eof:
+            if at >= len(view):
+                raise ValueError("the archive ends in a record")
+            out.append(d.decompress(view[at : at + step]))
+            at += step
+        at = min(at, len(view)) - len(d.unused_data)
+        yield b"".join(out)
 
 
 def parse(data: bytes) -> dict:
