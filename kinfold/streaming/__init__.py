@@ -1,0 +1 @@
+"""Left empty on purpose: every operator here is a batch operator, so there is nothing to stream."""
