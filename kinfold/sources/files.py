@@ -36,7 +36,7 @@ def after_meta(line: Column) -> Column:
 def read_clusters(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(line_no, ids) of ragged `meta;id,id,...` lines; line_no follows the file's order and isn't dense."""
     numbered = read_lines(spark, path).withColumn("line_no", F.monotonically_increasing_id())
-    return numbered.select("line_no", F.transform(F.split(after_meta(F.col("value")), ","), lambda x: F.trim(x).cast("long")).alias("ids"))
+    return numbered.select("line_no", F.transform(F.split(after_meta(F.col("value")), ","), lambda x: F.trim(x).try_cast("long")).alias("ids"))
 
 
 def cluster_members(clusters: DataFrame) -> DataFrame:
@@ -79,13 +79,13 @@ def read_labels(spark: SparkSession, path: str | list[str]) -> DataFrame:
 def read_cannot_link(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(a, b), a < b, of lines `a,b` and of lines `label,a,b` whose label is 0."""
     parts = F.split("value", ",")
-    rows = read_lines(spark, path).select(F.transform(parts, lambda x: F.trim(x).cast("long")).alias("v"))
+    rows = read_lines(spark, path).select(F.transform(parts, lambda x: F.trim(x).try_cast("long")).alias("v"))
     rows = rows.select(F.when(F.size("v") == 2, F.col("v")).when(F.get("v", F.lit(0)) == 0, F.slice("v", 2, 2)).alias("v")).where("v is not null")
     return rows.select(F.least(F.col("v")[0], F.col("v")[1]).alias("a"), F.greatest(F.col("v")[0], F.col("v")[1]).alias("b")).distinct()
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    return read_lines(spark, path).select(F.col("value").cast("long").alias("id"))
+    return read_lines(spark, path).select(F.col("value").try_cast("long").alias("id"))
 
 
 def read_words(spark: SparkSession, path: str | list[str]) -> list[str]:
