@@ -26,6 +26,8 @@ GROUP = 2048
 #: The training sample: texts of each label, and windows of each text.
 MAX_TOXIC, MAX_CLEAN, MAX_WINDOWS = 1000, 2000, 24
 THRESHOLD = 0.7
+#: Part of a word's inputs that a training step leaves out.
+DROP = 0.3
 
 
 def inputs(words: Words) -> np.ndarray:
@@ -75,13 +77,19 @@ class Network:
             e += self.p["table"].take(rows[:, k], axis=0)
         return e
 
-    def train(self, texts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], toxic: np.ndarray, epochs: int = 6, batch: int = 16, seed: int = 3) -> None:
-        """texts: of each the input rows of its words, and its windows' first words and lengths."""
+    def train(self, texts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], toxic: np.ndarray, clean_weight: float = 1.0, epochs: int = 6, batch: int = 16, seed: int = 3) -> None:
+        """texts: of each the input rows of its words, and its windows' first words and lengths.
+
+        clean_weight: how many texts a clean one of the sample stands for, against a toxic one.
+        """
         r, p = np.random.default_rng(seed), self.p
         adam = gru.Adam(p, 0.01)
-        order = [i for i, t in enumerate(texts) if len(t[1])]
-        pos, neg = [i for i in order if toxic[i]], [i for i in order if not toxic[i]]
-        rounds = epochs * -(-len(order) // batch)
+        usable = [i for i, t in enumerate(texts) if len(t[1])]
+        # every fifth text of each label sets the cut, the others train
+        pos, neg = [i for i in usable if toxic[i]], [i for i in usable if not toxic[i]]
+        order = [*pos[::5], *neg[::5]]
+        pos, neg = [x for k, x in enumerate(pos) if k % 5], [x for k, x in enumerate(neg) if k % 5]
+        rounds = max(150, epochs * -(-(len(pos) + len(neg)) // batch))
         for k in range(rounds if pos and neg else 0):
             adam.rate = 0.01 * (1 - k / rounds) + 0.0005
             chosen = [*r.choice(pos, batch // 2), *r.choice(neg, batch // 2)]
@@ -98,7 +106,8 @@ class Network:
             y = np.array([toxic[i] for i in chosen], f32)
             place = np.minimum(first[:, None] + np.arange(WINDOW), first[:, None] + length[:, None] - 1).T
             mask = (np.arange(WINDOW)[:, None] < length).astype(f32)
-            e = self.embed(rows)
+            keep = (r.random(rows.shape) > DROP).astype(f32) / f32(1 - DROP)
+            e = (p["table"][rows] * keep[:, :, None]).sum(1)
             x = e[place] * mask[:, :, None]
             sf, cf = gru.forward(x @ p["wf"] + p["bf"], p["uf"])
             sb, cb = gru.forward((x @ p["wb"] + p["bb"])[::-1], p["ub"])
@@ -127,12 +136,12 @@ class Network:
                 grads[f"w{way}"], grads[f"b{way}"] = flat.T @ g2, g2.sum(0)
             dx = ((xf @ p["wf"].T + xb @ p["wb"].T) * mask[:, :, None]).reshape(-1, WIDTH)
             of = rows[place.reshape(-1)].reshape(-1)
-            spread = np.repeat(dx, KINDS, axis=0)
+            spread = (dx[:, None, :] * keep[place.reshape(-1)][:, :, None]).reshape(-1, WIDTH)
             grads["table"] = np.stack([np.bincount(of, spread[:, j], len(p["table"])) for j in range(WIDTH)], axis=1).astype(f32)
             adam.update(grads)
-        if pos and neg:
+        if pos and neg and 0 < sum(toxic[i] for i in order) < len(order):
             best = np.array([self.logits(t[0], t[1], t[2]).max() for t in (texts[i] for i in order)])
-            self.cut = _best_cut(best, np.array([toxic[i] for i in order]))
+            self.cut = _best_cut(best, np.array([toxic[i] for i in order]), clean_weight)
 
     def logits(self, rows: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
         """Logits of windows over input rows of words."""
@@ -178,11 +187,11 @@ class Network:
         return score, count
 
 
-def _best_cut(logits: np.ndarray, toxic: np.ndarray) -> float:
-    """The middle of the widest gap around the cut of best F1."""
-    order = np.argsort(-logits)
-    hits = np.cumsum(toxic[order])
-    f1 = 2 * hits / (np.arange(1, len(order) + 1) + toxic.sum())
+def _best_cut(logits: np.ndarray, toxic: np.ndarray, clean_weight: float = 1.0) -> float:
+    """The cut of best F1, in the middle between the logits around it."""
+    order = np.argsort(-logits, kind="stable")
+    hits, wrong = np.cumsum(toxic[order]), np.cumsum(1 - toxic[order]) * clean_weight
+    f1 = 2 * hits / (hits + wrong + toxic.sum())
     k = int(np.argmax(f1))
     low = logits[order[k + 1]] if k + 1 < len(order) else logits[order[k]] - 2
     return float((logits[order[k]] + low) / 2)
@@ -222,7 +231,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Network:
     if not (0 < sum(toxic) < len(toxic)):
         net.cut = 100.0
         return net
-    net.train(texts, np.array(toxic))
+    all_ = {r["toxic"]: r["count"] for r in labels.where("toxic in (0, 1)").groupBy("toxic").count().collect()}
+    part = [toxic.count(y) / max(1, all_.get(y, 0)) for y in (0, 1)]
+    net.train(texts, np.array(toxic), part[1] / part[0])
     return net
 
 
