@@ -268,7 +268,7 @@ _KEYS = {
     "iFoffbyoneL": (f"SELECT iFfL AS bin_key, id AS author_id FROM rec UNION ALL SELECT {_LAST.format('iFfL')}, id FROM rec", 30),
     "2FoffbyoneL": (f"SELECT k AS bin_key, id AS author_id FROM (SELECT substr(name_first, 1, 2) || name_last AS k, id FROM rec) UNION ALL SELECT {_LAST.format('k')}, id FROM (SELECT substr(name_first, 1, 2) || name_last AS k, id FROM rec)", 30),
     "offbylastone": (f"SELECT fullname_joined AS bin_key, id AS author_id FROM rec UNION ALL SELECT {_LAST.format('fullname_joined')}, id FROM rec", None),
-    "token": ("SELECT w[i] || ' ' || w[i + 1] AS bin_key, id AS author_id FROM (SELECT id, w, unnest(generate_series(1, len(w) - 1)) AS i FROM (SELECT id, list_filter(string_split(fullname, ' '), lambda x: length(x) > 2) AS w FROM rec))", 100),
+    "token": ("SELECT w[i] || ' ' || w[i + 1] AS bin_key, id AS author_id FROM (SELECT id, w, unnest(generate_series(1, len(w) - 1)) AS i FROM (SELECT id, list_filter(string_split(fullname, ' '), lambda x: length(x) > 2 AND x NOT IN (" + ", ".join(f"'{w}'" for w in blocking.NAME_WORDS) + ")) AS w FROM rec))", 100),
     "ngrams": ("SELECT g AS bin_key, id AS author_id FROM (SELECT id, substr(fullname, i, 15) AS g FROM (SELECT id, fullname, unnest(range(1, length(fullname) - 13)) AS i FROM rec)) WHERE " + " AND ".join(f"NOT contains(g, '{s}')" for s in blocking.STOP), 30),
 }
 
