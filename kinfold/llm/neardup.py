@@ -26,7 +26,7 @@ from . import shared
 from .tokens import SPACED, Words, column, mix, slices
 
 _U = np.uint64
-BINS, SKETCH = 512, 1024
+BINS, SKETCH = 4096, 2048
 
 
 @dataclass(frozen=True)
@@ -129,19 +129,19 @@ def estimate_at_least(a: str, b: str, percent: int):
     """Whether the sketches of two rows leave it possible that their similarity reaches percent.
 
     The XOR's population count x estimates the differing samples d = -SKETCH/2 ln(1 - 2x/SKETCH); the matching samples m are
-    half of what both have but d. m / (samples of both - m) estimates the similarity; five standard errors of the samples
-    and of the sketch are allowed.
+    half of what both have but d, and m / (samples of both - m) estimates the similarity. 4.5 standard errors are allowed: of the
+    samples, where a set has more shingles than samples, and of the sketch, where many samples differ. Flips that cancel only
+    raise the estimate.
     """
     x = sum((F.bit_count(F.col(f"{a}sketch")[i].bitwiseXOR(F.col(f"{b}sketch")[i])) for i in range(SKETCH // 64)), F.lit(0))
     x = F.least(x.cast("double"), F.lit(SKETCH / 2 - 1.0))
     d = F.lit(-SKETCH / 2) * F.log(F.lit(1.0) - x * (2.0 / SKETCH))
     both = (F.col(f"{a}occ") + F.col(f"{b}occ")).cast("double")
     least = F.least(F.col(f"{a}occ"), F.col(f"{b}occ")).cast("double")
+    smaller, larger = F.least(F.col(f"{a}n"), F.col(f"{b}n")), F.greatest(F.col(f"{a}n"), F.col(f"{b}n"))
     match = F.least((both - d) / 2, least)
-    similar = match / (both - match)
-    error = F.lit(5 * 0.4) / F.sqrt(least) * F.when(F.least(F.col(f"{a}n"), F.col(f"{b}n")) <= 64, 0.0).otherwise(1.0) + F.lit(5 * 9.0) / (both / 2)
-    sizes = 100 * F.least(F.col(f"{a}n"), F.col(f"{b}n")) >= percent * F.greatest(F.col(f"{a}n"), F.col(f"{b}n"))
-    return sizes & (similar + error >= percent / 100)
+    error = 4.5 * F.sqrt(0.16 / least * (1 - least / larger) + 1.5e-8 * least) + 2 / least
+    return (100 * smaller >= percent * larger) & (match / (both - match) + error >= percent / 100)
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
