@@ -163,7 +163,7 @@ class Encoder:
     that doesn't hold (runs of spaces, a special token's name) are encoded whole.
     """
 
-    CACHE = 300_000
+    CACHE = 600_000
 
     def __init__(self, path: str):
         import os
@@ -177,12 +177,28 @@ class Encoder:
         self.opens = np.zeros(max(vocab.values()) + 1, bool)
         for token, i in vocab.items():
             self.opens[i] = token.startswith("Ġ")
-        self.known: dict[str, np.ndarray] = {}
+        self.clear()
+
+    def clear(self) -> None:
+        """known: a part's number; its ids are flat[edge[number] : edge[number + 1]]."""
+        self.known: dict[str, int] = {}
+        self.flat, self.edge, self.used = np.empty(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), 0
 
     def plain(self, text: str) -> bool:
         """Whether the text can be cut at its spaces."""
         return "  " not in text and not any(s in text for s in self.special) and not _ODD.search(text)
 
+    def keep(self, parts: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        n, m = len(self.known), len(ids)
+        if self.used + m > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * (self.used + m))
+        if n + len(parts) + 1 > len(self.edge):
+            self.edge = np.resize(self.edge, 2 * (n + len(parts) + 1))
+        self.flat[self.used : self.used + m] = ids
+        self.edge[n + 1 : n + len(parts) + 1] = self.used + np.cumsum(sizes)
+        self.used += m
+        self.known.update(zip(parts, range(n, n + len(parts))))
+
     def parts(self, new: list[str]) -> None:
         """Encodes parts that aren't known yet; each stands for itself with one space before it."""
         for i in range(0, len(new), 4000):
@@ -190,36 +206,34 @@ class Encoder:
             ids = np.array(self.tok.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
             at = np.flatnonzero(self.opens[ids])
             if len(at) != len(some) or at[0]:  # a part has an inner token that begins with a space
-                for p in some:
-                    self.known[p] = np.array(self.tok.encode(" " + p, add_special_tokens=False).ids, np.uint32)
+                each = [self.tok.encode(" " + p, add_special_tokens=False).ids for p in some]
+                ids, sizes = np.array([x for e in each for x in e], np.uint32), np.array([len(e) for e in each])
             else:
-                self.known.update(zip(some, np.split(ids, at[1:])))
+                sizes = np.diff(at, append=len(ids))
+            self.keep(some, ids, sizes)
 
     def batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many each text has."""
         import pandas as pd
 
         if len(self.known) > self.CACHE:
-            self.known = {}
+            self.clear()
         cuttable = [self.plain(t) for t in texts]
         plain = [i for i, c in enumerate(cuttable) if c]
+        whole = [i for i, c in enumerate(cuttable) if not c]
         cut = [texts[i].split(" ") for i in plain]
+        first = [c[0] for c in cut]
         lengths = np.array([len(c) - 1 for c in cut], np.int64)
         codes, unique = pd.factorize(np.array([p for c in cut for p in c[1:]], dtype=object))
-        unique = list(unique)
-        self.parts([p for p in unique if p not in self.known])
-        whole = [i for i, c in enumerate(cuttable) if not c]
-        first = [c[0] for c in cut]
-        rest = [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast([texts[i] for i in whole] + first, add_special_tokens=False)]
-        pieces = [self.known[p] for p in unique]
-        size = np.array([len(p) for p in pieces], np.int64)
-        flat = np.concatenate(pieces) if pieces else np.empty(0, np.uint32)
-        begin = np.cumsum(size) - size
+        known = self.known
+        self.parts([p for p in unique if p not in known])
+        number = np.fromiter(map(known.__getitem__, unique), np.int64, len(unique))
+        begin, size = self.edge[number], self.edge[number + 1] - self.edge[number]
         took = size[codes]
         ends = np.cumsum(took)
-        place = np.repeat(begin[codes] - (ends - took), took) + np.arange(int(took.sum()))
-        body = flat[place]
+        body = self.flat[np.repeat(begin[codes] - (ends - took), took) + np.arange(int(took.sum()))]
         edges = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(lengths)))]
+        rest = [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast([texts[i] for i in whole] + first, add_special_tokens=False)]
         out: list[np.ndarray] = [None] * len(texts)
         for k, i in enumerate(plain):
             out[i] = np.concatenate((rest[len(whole) + k], body[edges[k] : edges[k + 1]]))
