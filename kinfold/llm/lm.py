@@ -218,7 +218,7 @@ def fit(docs: DataFrame, folder: str) -> Model:
     spark = docs.sparkSession
     shared.make_dir(folder)
     texts = docs.select("text")
-    bits = max(4, (2 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+    bits = max(4, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = Counter()
@@ -278,10 +278,17 @@ def fit(docs: DataFrame, folder: str) -> Model:
     shards = np.array(sorted(model.words) or [0], np.int64)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        send = lambda k, n: blocks(k, n, shards[np.searchsorted(starts, k.astype(np.int64), "right") - 1])
         for b in batches:
             for block in b.column("after").to_pylist():
-                k, n = unpack(block)
-                yield from blocks(k, n, shards[np.searchsorted(starts, k.astype(np.int64), "right") - 1])
+                held.append(unpack(block))
+                size += len(held[-1][0])
+                if size > 4 * HELD:
+                    held = [merged(held)]
+                    size = len(held[0][0])
+        if held:  # a task's counts together, so that blocks number tasks times shards
+            yield from send(*merged(held))
 
     def write_after(shard, keys, counts):
         table = np.zeros(model.words[shard], "<u4")
