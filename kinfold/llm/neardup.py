@@ -128,20 +128,26 @@ def signatures(batch: pa.RecordBatch, p: Params) -> pa.RecordBatch:
 def estimate_at_least(a: str, b: str, percent: int):
     """Whether the sketches of two rows leave it possible that their similarity reaches percent.
 
-    The XOR's population count x estimates the differing samples d = -SKETCH/2 ln(1 - 2x/SKETCH); the matching samples m are
-    half of what both have but d, and m / (samples of both - m) estimates the similarity. 4.5 standard errors are allowed: of the
-    samples, where a set has more shingles than samples, and of the sketch, where many samples differ. Flips that cancel only
-    raise the estimate.
+    At just that similarity t the union has (nx + ny) / (1 + t) shingles, of which those that the larger set lacks fall into the
+    bins at random; so many bins u are occupied by either set. The smallest shingle of a bin is in both sets in a share t of
+    them, so that d = both - 2tu samples differ, and d samples leave SKETCH/2 (1 - (1 - 2/SKETCH)^d) odd bits, and never more
+    than d. More similar sets have fewer. Allowed are 4.5 standard errors (of what is drawn of the union, of u, and of the
+    sketch), and 4 bits for sets so small that a few shared bins decide.
     """
+    t = percent / 100
     x = sum((F.bit_count(F.col(f"{a}sketch")[i].bitwiseXOR(F.col(f"{b}sketch")[i])) for i in range(SKETCH // 64)), F.lit(0))
-    x = F.least(x.cast("double"), F.lit(SKETCH / 2 - 1.0))
-    d = F.lit(-SKETCH / 2) * F.log(F.lit(1.0) - x * (2.0 / SKETCH))
-    both = (F.col(f"{a}occ") + F.col(f"{b}occ")).cast("double")
-    least = F.least(F.col(f"{a}occ"), F.col(f"{b}occ")).cast("double")
-    smaller, larger = F.least(F.col(f"{a}n"), F.col(f"{b}n")), F.greatest(F.col(f"{a}n"), F.col(f"{b}n"))
-    match = F.least((both - d) / 2, least)
-    error = 4.5 * F.sqrt(0.16 / least * (1 - least / larger) + 1.5e-8 * least) + 2 / least
-    return (100 * smaller >= percent * larger) & (match / (both - match) + error >= percent / 100)
+    an, bn, aocc, bocc = (F.col(c).cast("double") for c in (f"{a}n", f"{b}n", f"{a}occ", f"{b}occ"))
+    smaller, larger = F.least(an, bn), F.greatest(an, bn)
+    union = (an + bn) / (1 + t)
+    lacks, free = F.greatest(union - larger, F.lit(0.0)), BINS - F.when(an >= bn, aocc).otherwise(bocc)
+    empty = free * F.exp(lacks * math.log1p(-1 / BINS))  # bins of neither set
+    u = BINS - empty
+    drawn = t * (1 - t) * u * F.greatest(1 - u / union, F.lit(0.0)) + t * t * F.greatest(empty * (1 - empty / F.greatest(free, F.lit(1.0))) - empty * empty * lacks / BINS**2, F.lit(0.0))
+    d = F.greatest(aocc + bocc - 2 * t * u, F.lit(0.0))
+    even = F.exp(d * math.log1p(-2 / SKETCH))
+    odd = SKETCH / 2 * (1 - even)
+    error = F.sqrt(F.greatest(SKETCH / 4 * (1 - even * even * (1 + 4 / SKETCH * d)), F.lit(0.0)) + 4 * even * even * drawn)
+    return (100 * smaller >= percent * larger) & (x <= 4 + F.least(d + 9 * F.sqrt(drawn), odd + 4.5 * error))
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, p: Params) -> DataFrame:

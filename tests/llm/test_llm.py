@@ -229,6 +229,23 @@ def test_neardup_like_plain(spark, odd):
     assert got[1]["n_shingles"] == got[3]["n_shingles"] == 0 and got[5]["component_id"] == 4 and got[8]["component_id"] == 7 and got[None]["kept"]
 
 
+def test_neardup_of_long_texts(spark):
+    r = random.Random(5)
+    rows = []
+    for n in (2000, 4000, 10000, 20000, 50000):
+        for percent in (80, 82, 86):
+            base = [f"w{r.getrandbits(60)}" for _ in range(n + 1)]
+            rows.append((len(rows), " ".join(base)))
+            # each word that is exchanged, not beside another, takes two shingles from either text
+            for i in r.sample(range(1, n, 2), int(n * (100 - percent) / (100 + percent) / 2)):
+                base[i] = f"x{i}"
+            rows.append((len(rows), " ".join(base)))
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = plain_neardup(rows)
+    assert len({c for _, c in want.values()}) == len(rows) // 2
+    assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in got} == want
+
+
 def test_neardup_on_documents(spark):
     docs = docs_of(spark)
     got = QUERIES["op4_minhash_neardup"](spark, DATA).collect()
