@@ -23,7 +23,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     rules = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.apply_rules(docs.select("doc_id", "text"), rules).select("doc_id", "_q.*")
+    return quality.judge(docs, rules).select(F.col("row.doc_id").alias("doc_id"), "q.*")
 
 
 @query
@@ -59,7 +59,7 @@ FROM f
 def op4_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import neardup
 
-    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+    return neardup.near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 @query
@@ -71,9 +71,11 @@ def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
     from . import secrets
 
-    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents"), vocabulary=public_tokenizers.path("byte_bpe_50k.json")))
 
 
 @query

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
+from pyspark.sql import DataFrame
 
 _OWN: dict[str, str] = {}
 
@@ -58,6 +59,50 @@ def delete_dir(uri: str) -> None:
         fs.delete_dir(path)
 
 
+def exists(uri: str) -> bool:
+    from pyarrow import fs as afs
+
+    fs, path = _fs(uri)
+    return fs.get_file_info(path).type == afs.FileType.File
+
+
+#: Rows of a file, where it is known how many there are.
+FILE_ROWS = 200_000
+
+
+class Tables:
+    """Tables that a job writes to a folder of its own and reads again, so that later steps neither repeat it nor depend on executors."""
+
+    def __init__(self, spark):
+        self.spark, self.root, self.n = spark, shared_dir(spark), 0
+        self.made: dict[str, DataFrame] = {}
+
+    def folder(self) -> str:
+        self.n += 1
+        return f"{self.root}/{self.n:04d}"
+
+    def save(self, df, rows: int | None = None):
+        """df as written. rows: about how many it has, so that few rows make few files; the last step then has as many tasks."""
+        where = self.folder()
+        if rows is not None:
+            df = df.coalesce(rows // FILE_ROWS + 1)
+        df.write.parquet(where)
+        self.made[where] = out = self.spark.read.schema(df.schema).parquet(where)
+        return out
+
+    def keep(self, *frames) -> None:
+        """Deletes what has been written but for these tables, which a result still reads."""
+        kept = {where for where, df in self.made.items() if any(df is x for x in frames)}
+        for k in range(1, self.n + 1):
+            if (where := f"{self.root}/{k:04d}") not in kept:
+                delete_dir(where)
+                self.made.pop(where, None)
+
+    def delete(self) -> None:
+        """Deletes everything; what reads these tables can't be run any more."""
+        delete_dir(self.root)
+
+
 class Pending:
     """A file written under a temporary name; commit() renames it, so a retried task leaves no half file."""
 
@@ -71,12 +116,8 @@ class Pending:
 
     def commit(self) -> str:
         self.out.close()
-        from pyarrow import fs as afs
-
         fs, final = _fs(self.uri)
-        if fs.get_file_info(final).type != afs.FileType.NotFound:  # of an earlier attempt
-            fs.delete_file(final)
-        fs.move(self.path, final)
+        fs.move(self.path, final)  # over that of an earlier attempt, which is the same
         return self.uri
 
 

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 2_000_000
+HASH_BYTES = 1_000_000
 
 #: [^\x20\x09-\x0D]+ on UTF-8 bytes.
 SPACED = np.ones(256, dtype=bool)
@@ -43,10 +44,32 @@ def _tables(fold: bool) -> np.ndarray:
 _TABLE = {True: _tables(True), False: _tables(False)}
 
 
+#: A second, independent hash, for places where equal hashes count as equal bytes.
+SECOND = mix(np.arange(1001, 1257, dtype=_U) * _U(0xC2B2AE3D27D4EB4F))
+
+
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """64-bit hash of each span of buf; spans ascend without overlap. Spans are hashed in blocks of some bytes, so that memory
+    doesn't grow with a text (but with its longest span)."""
+    out = np.empty(len(starts), _U)
+    i = 0
+    while i < len(starts):
+        lo = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(ends, lo + HASH_BYTES, "right")))
+        part = buf[lo : int(ends[j - 1])]
+        p, inv = powers(len(part) + 1)
+        total = np.zeros(len(part) + 1, _U)
+        np.cumsum(table[part] * p[: len(part)], out=total[1:])
+        s = starts[i:j] - lo
+        out[i:j] = mix((total[ends[i:j] - lo] - total[s]) * inv[s])
+        i = j
+    return out
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
         for k, base in enumerate((_P, _PI)):
-            a = np.full(max(n, SLICE_BYTES), base, dtype=_U)
+            a = np.full(max(n, HASH_BYTES + 1), base, dtype=_U)
             a[0] = 1
             _powers[k] = np.cumprod(a, dtype=_U)
     return _powers[0], _powers[1]
@@ -74,11 +97,7 @@ class Words:
 
     def hashes(self, fold: bool = True) -> np.ndarray:
         """64-bit hash of each word's bytes; fold: A-Z count as a-z."""
-        n = len(self.buf)
-        p, inv = powers(n + 1)
-        total = np.zeros(n + 1, dtype=_U)
-        np.cumsum(_TABLE[fold][self.buf] * p[:n], out=total[1:])
-        return mix((total[self.ends] - total[self.starts]) * inv[self.starts])
+        return span_hashes(self.buf, self.starts, self.ends, _TABLE[fold])
 
     def text(self, k: int) -> str:
         return self.buf[self.starts[k] : self.ends[k]].tobytes().decode("utf-8")
@@ -107,3 +126,15 @@ def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int,
         j = min(j, len(texts))
         yield i, j, data[off[i] : off[j]], off[i : j + 1] - off[i]
         i = j
+
+
+#: Bytes of a batch's texts that are turned into Python strings at a time.
+PART_BYTES = 2_000_000
+
+
+def parts_of(batch: pa.RecordBatch, name: str, most: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about `most` bytes of the string column `name`; a row is never cut."""
+    a = batch.column(name)
+    a = a.cast(pa.large_string()) if not pa.types.is_large_string(a.type) else a
+    for i, j, _, _ in slices(a, most):
+        yield batch.slice(i, j - i)

@@ -1,6 +1,6 @@
 """WARC archives: a deterministic sharded writer, and a reader.
 
-Pages are sorted by range of page_id; a task writes its range as files that roll over at a compressed size, each record a gzip
+Pages are sorted by range of page_id; a shard's range is written as files that roll over at a compressed size, each record a gzip
 member of its own. Headers and SHA-256 digests are made anew from the payload. Of equal payloads of some size the smallest
 page_id is a response and the others are revisits of it, without payload. Files get temporary names and are renamed; only those
 that the manifest lists count.
@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import shared
+from .ranges import by_range, place
+from .tokens import parts_of
 
 #: Of records this long or longer, equal ones are stored once.
 LEAST_BYTES = 100
@@ -25,10 +27,13 @@ ROLL_BYTES = 16_000_000
 #: Archives don't depend on the clock.
 DATE = "2000-01-01T00:00:00Z"
 _SPACE = uuid.UUID("5b1d9f6e-0f0c-4f5e-9c0a-5a3a4a7f6d21")
-MANIFEST = pa.schema([("file", pa.string()), ("part", pa.int32()), ("first", pa.int64()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha256", pa.string())])
+MANIFEST = pa.schema([("file", pa.string()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha256", pa.string())])
 
 
-def with_revisits(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
+COLUMNS = "page_id", "url", "html", "digest", "refers_to", "_id", "_tie"
+
+
+def with_revisits(pages: DataFrame, least: int = LEAST_BYTES) -> tuple[DataFrame, DataFrame]:
     """Page rows (page_id, url, html, digest; null url or html: empty) and mark rows (page_id, digest, refers_to; html null).
 
     A mark says that the page's payload of that digest is a revisit of another page. Marks come from ids and digests alone, so
@@ -39,11 +44,14 @@ def with_revisits(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
         F.col("page_id").cast("long").alias("page_id"),
         F.coalesce(F.col("url"), F.lit("")).alias("url"),
         F.coalesce(F.col("html"), F.lit("")).alias("html"),
-    ).withColumn("digest", F.sha2("html", 256))
-    long_ = rows.where(F.octet_length("html") >= least).select("page_id", "digest")
+    ).withColumns({"digest": F.sha2("html", 256), "refers_to": F.lit(None).cast("long")})
+    key, tie = place(F.col("page_id"), F.col("html"))
+    rows = rows.withColumns({"_id": key, "_tie": tie})
+    long_ = rows.where((F.octet_length("html") >= least) & F.col("page_id").isNotNull()).select("page_id", "digest", "_id", "_tie")
     firsts = long_.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("d"), "first")
-    marks = long_.join(firsts, F.col("digest") == F.col("d")).where("page_id <> first").select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "digest", F.col("first").alias("refers_to")).distinct()
-    return rows.withColumn("refers_to", F.lit(None).cast("long")).unionByName(marks)
+    marks = long_.join(firsts, F.col("digest") == F.col("d")).where("page_id <> first").distinct()
+    nothing = F.lit(None).cast("string")
+    return rows.select(*COLUMNS), marks.select("page_id", nothing.alias("url"), nothing.alias("html"), "digest", F.col("first").alias("refers_to"), "_id", "_tie")
 
 
 def record(page_id, url: str, payload: bytes, digest: str, refers_to) -> bytes:
@@ -77,45 +85,55 @@ def _member(data: bytes, level: int) -> bytes:
     return c.compress(data) + c.flush()
 
 
-def write(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, level: int = 6, least: int = LEAST_BYTES) -> list[dict]:
-    """Writes the pages' archives and the manifest, a list of dicts in order of page_id; an empty table gives no file."""
-    spark = pages.sparkSession
+def write(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, level: int = 6, least: int = LEAST_BYTES, shard_bytes: int | None = None) -> list[dict]:
+    """Writes the pages' archives and the manifest, a list of dicts in order of page_id; an empty table gives no file.
+
+    Rows are in order of page_id, those of one page_id in order of a hash of their payload, then by url. Shards are ranges of that
+    order, and archives are named by shard and number: the same pages give the same files, however they are dealt out.
+    """
     shared.make_dir(folder)
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = with_revisits(pages, least).repartitionByRange(n, F.col("page_id").asc_nulls_first()).sortWithinPartitions(
-        F.col("page_id").asc_nulls_first(), F.col("refers_to").asc_nulls_last(), "url", "digest"
-    )
+    rows, marks = with_revisits(pages, least)
+    ordered = by_range(rows, F.octet_length("html") + 300, marks, shard_bytes).sortWithinPartitions(
+        "_shard", F.col("page_id").asc_nulls_first(), "_tie", F.col("refers_to").asc_nulls_last(), "url", "digest"
+    ).select("_shard", "page_id", "url", "html", "digest", "refers_to")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, done = uuid.uuid4().hex, []
-        out, first, records, size, digest = None, 0, 0, 0, None
+        done, now, part = [], None, 0
+        out, records, size, digest = None, 0, 0, None
         marked: tuple[int | None, dict[str, int]] = (None, {})
-        for b in batches:
-            for page_id, url, html, sha, refers_to in zip(*(b.column(k).to_pylist() for k in ("page_id", "url", "html", "digest", "refers_to"))):
-                if html is None:  # a mark comes before the page's rows
-                    if marked[0] != page_id:
-                        marked = (page_id, {})
-                    marked[1][sha] = refers_to
-                    continue
-                refers_to = marked[1].get(sha) if page_id is not None and marked[0] == page_id else None
-                if out is None:
-                    name = f"{task}-{len(done):05d}.warc.gz"
-                    out, first, records, size, digest = shared.Pending(folder, name), page_id, 0, 0, hashlib.sha256()
-                data = _member(record(page_id, url, html.encode(), sha, refers_to), level)
-                out.write(data)
-                digest.update(data)
-                records, size = records + 1, size + len(data)
-                if size >= roll_bytes:
-                    out.commit()
-                    done.append((name, len(done), first, records, size, digest.hexdigest()))
-                    out = None
-        if out is not None:
-            out.commit()
-            done.append((name, len(done), first, records, size, digest.hexdigest()))
-        yield pa.RecordBatch.from_pylist([dict(zip(MANIFEST.names, d)) for d in done], schema=MANIFEST)
-
-    found = [r.asDict() for r in ordered.mapInArrow(run, "file string, part int, first long, records long, bytes long, sha256 string").collect()]
-    found.sort(key=lambda r: (r["first"] is not None, r["first"] or 0, r["file"].split("-")[0], r["part"]))
+
+        def close() -> None:
+            nonlocal out, part
+            if out is not None:
+                out.commit()
+                done.append({"file": name, "records": records, "bytes": size, "sha256": digest.hexdigest()})
+                out, part = None, part + 1
+
+        for whole in batches:
+            for b in parts_of(whole, "html"):
+                for shard, page_id, url, html, sha, refers_to in zip(*(b.column(k).to_pylist() for k in ("_shard", "page_id", "url", "html", "digest", "refers_to"))):
+                    if shard != now:
+                        close()
+                        now, part = shard, 0
+                    if html is None:  # a mark comes before the page's rows of that payload
+                        if marked[0] != page_id:
+                            marked = (page_id, {})
+                        marked[1][sha] = refers_to
+                        continue
+                    refers_to = marked[1].get(sha) if page_id is not None and marked[0] == page_id else None
+                    if out is None:
+                        name = f"{now:06d}-{part:05d}.warc.gz"
+                        out, records, size, digest = shared.Pending(folder, name), 0, 0, hashlib.sha256()
+                    data = _member(record(page_id, url, html.encode(), sha, refers_to), level)
+                    out.write(data)
+                    digest.update(data)
+                    records, size = records + 1, size + len(data)
+                    if size >= roll_bytes:
+                        close()
+        close()
+        yield pa.RecordBatch.from_pylist(done, schema=MANIFEST)
+
+    found = sorted((r.asDict() for r in ordered.mapInArrow(run, "file string, records long, bytes long, sha256 string").collect()), key=lambda r: r["file"])
     shared.write_file(folder, "manifest.json", json.dumps(found).encode())
     return found
 
@@ -173,5 +191,10 @@ def read(spark: SparkSession, folder: str, manifest: list[dict]) -> DataFrame:
 
 
 def write_and_read(pages: DataFrame) -> DataFrame:
+    """The pages' records, read back from archives that are written to the shared folder first.
+
+    A row for each row of pages, repeated ones too; null html is an empty payload, null url an empty one, and a null page_id is never
+    referred to. An empty table gives no rows; other columns aren't read.
+    """
     folder = shared.shared_dir(pages.sparkSession)
     return read(pages.sparkSession, folder, write(pages, folder))
