@@ -1,12 +1,11 @@
 """Language identification: a bidirectional gated recurrent network over bytes.
 
 The network reads a text in pieces of CHUNK bytes, gives each byte a probability of each language, and a text's are their means. It is
-trained on the driver by backpropagation through time, on pieces from at most MAX_DOCS documents.
+trained on the driver by backpropagation through time, on windows of bytes from at most MAX_DOCS documents.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,13 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import gru
-from .tokens import column, slices
+from .tokens import column, parts_of, slices
 
 f32 = np.float32
 CHUNK, HIDDEN, GROUP = 192, 8, 1536
-#: The training sample: documents, in equal parts of each language, and two pieces of so many characters of each.
-MAX_DOCS, PIECE = 4000, 160
-LETTER = re.compile(r"[^\W\d_]")
+#: The training sample: documents, in equal parts of each language, and windows of so many bytes, drawn from all of each text.
+MAX_DOCS, WINDOWS, PIECE = 4000, 3, 320
 UNKNOWN = "und"
 
 
@@ -115,8 +113,11 @@ class Network:
         return out / np.where(total > 0, total, 1)
 
 
-def sample(docs: DataFrame, max_docs: int = MAX_DOCS) -> list[tuple[str, str]]:
-    """(lang, piece) of at most max_docs documents with a language, by a hash of doc_id, as many of each language as there are."""
+def sample(docs: DataFrame, max_docs: int = MAX_DOCS) -> list[tuple[str, bytes]]:
+    """(lang, window) of at most max_docs documents with a language, by a hash of doc_id, as many of each language as there are.
+
+    Windows begin anywhere in the text, also inside a character, as the network's pieces do. Of rows with an equal doc_id one counts.
+    """
     rows = docs.where("lang is not null and doc_id is not null and text is not null")
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not counts:
@@ -124,11 +125,13 @@ def sample(docs: DataFrame, max_docs: int = MAX_DOCS) -> list[tuple[str, str]]:
     each = max(1, max_docs // len(counts))
     share = F.create_map(*[x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(min(1.0, 1.3 * each / n)))])
     u = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    at = lambda s: F.pmod(F.xxhash64("doc_id", F.lit(s)), F.greatest(F.length("text") - PIECE, F.lit(0)) + 1) + 1
-    chosen = rows.where(u < share[F.col("lang")]).select("doc_id", "lang", F.array(*[F.substring("text", at(s), F.lit(PIECE)) for s in (1, 2)]).alias("pieces"))
+    raw = F.encode("text", "utf-8")
+    at = lambda s: F.pmod(F.xxhash64("doc_id", F.lit(s)), F.greatest(F.octet_length("text") - PIECE, F.lit(0)) + 1).cast("int") + 1
+    chosen = rows.where(u < share[F.col("lang")]).select("doc_id", "lang", F.xxhash64("text").alias("h"), F.array(*[F.substring(raw, at(s), F.lit(PIECE)) for s in range(WINDOWS)]).alias("pieces"))
+    one = chosen.groupBy("doc_id").agg(F.min(F.struct("h", "lang", "pieces")).alias("one")).select("doc_id", "one.*")
     by: dict[str, list] = {}
-    for r in sorted(chosen.collect(), key=lambda r: (r["doc_id"] * 0x9E3779B97F4A7C15 & (1 << 64) - 1, r["lang"], r["pieces"])):
-        by.setdefault(r["lang"], []).append(r["pieces"])
+    for r in sorted(one.collect(), key=lambda r: (r["doc_id"] * 0x9E3779B97F4A7C15 & (1 << 64) - 1)):
+        by.setdefault(r["lang"], []).append([bytes(x) for x in r["pieces"]])
     return [(k, piece) for k in sorted(by) for pieces in by[k][:each] for piece in dict.fromkeys(pieces) if piece]
 
 
@@ -138,7 +141,7 @@ def fit(docs: DataFrame, max_docs: int = MAX_DOCS) -> Network:
     langs = sorted({k for k, _ in found})
     net = Network.new(langs)
     if len(langs) > 1:
-        raw = [t.encode()[: 2 * PIECE] for _, t in found]
+        raw = [x for _, x in found]
         lengths = np.array([len(x) for x in raw])
         pieces = np.zeros((len(raw), lengths.max()), np.uint8)
         for row, x in zip(pieces, raw):
@@ -147,17 +150,23 @@ def fit(docs: DataFrame, max_docs: int = MAX_DOCS) -> Network:
     return net
 
 
+def has_letter(text: str) -> bool:
+    """Whether any character is a letter; numbers and marks aren't."""
+    return any(map(str.isalpha, text))
+
+
 def predict(docs: DataFrame, net: Network) -> DataFrame:
     """doc_id, lang_pred and score. Null texts and texts without letters are `und` with score 0, as is all if no language is known.
 
     A text's prediction depends on the text alone, so repeated rows get equal ones; of languages with equal scores the first by name wins.
+    Texts of any length are read to their end, some megabytes at a time. An empty table gives no rows; other columns aren't read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in parts_of(whole, "text", 8_000_000)):
             texts = column(b, "text")
             p = net.texts(texts)
-            letters = [bool(LETTER.search(t)) and bool(net.langs) for t in texts.to_pylist()]
+            letters = [bool(net.langs) and has_letter(t.as_py()) for t in texts]
             best = p.argmax(1) if net.langs else np.zeros(len(p), int)
             names = [net.langs[k] if ok else UNKNOWN for k, ok in zip(best, letters)]
             score = [min(1.0, float(p[i, k])) if ok else 0.0 for i, (k, ok) in enumerate(zip(best, letters))]

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import gru
-from .tokens import _TABLE, ALNUM, Words, column, mix, powers, slices
+from .tokens import _TABLE, ALNUM, HASH_BYTES, Words, column, mix, powers, slices
 
 f32, _U = np.float32, np.uint64
 WINDOW, STRIDE, HIDDEN, WIDTH, BUCKETS = 32, 16, 8, 8, 1 << 13
@@ -23,8 +23,8 @@ WINDOW, STRIDE, HIDDEN, WIDTH, BUCKETS = 32, 16, 8, 8, 1 << 13
 FIRST, LAST = (3, 4, 5, 6, 7), (4,)
 KINDS = len(FIRST) + len(LAST) + 1
 GROUP = 2048
-#: The training sample: texts of each label, and windows of each text.
-MAX_TOXIC, MAX_CLEAN, MAX_WINDOWS = 1000, 2000, 24
+#: The training sample: texts of each label. All their windows count; a step's gradient goes through a text's highest STEP_WINDOWS.
+MAX_TOXIC, MAX_CLEAN, STEP_WINDOWS = 1000, 2000, 24
 THRESHOLD = 0.7
 #: Part of a word's inputs that a training step leaves out.
 DROP = 0.3
@@ -32,16 +32,21 @@ DROP = 0.3
 
 def inputs(words: Words) -> np.ndarray:
     """(words, KINDS) rows of the input table."""
-    n = len(words.buf)
-    p, inv = powers(n + 1)
-    total = np.zeros(n + 1, _U)
-    np.cumsum(_TABLE[True][words.buf] * p[:n], out=total[1:])
-    s, e = words.starts, words.ends
-    spans = [(s, np.minimum(s + k, e)) for k in FIRST] + [(np.maximum(e - k, s), e) for k in LAST] + [(s, e)]
-    out = np.empty((len(s), KINDS), np.int64)
-    for k, (a, b) in enumerate(spans):
-        h = (total[b] - total[a]) * inv[a]
-        out[:, k] = (mix(h + _U(k)) >> _U(51)).astype(np.int64) + k * BUCKETS
+    out = np.empty((len(words.starts), KINDS), np.int32)
+    at = 0
+    while at < len(words.starts):  # some bytes at a time, so that memory doesn't grow with a text
+        end = max(at + 1, int(np.searchsorted(words.ends, words.starts[at] + HASH_BYTES, "right")))
+        lo = int(words.starts[at])
+        buf = words.buf[lo : int(words.ends[end - 1])]
+        s, e = words.starts[at:end] - lo, words.ends[at:end] - lo
+        p, inv = powers(len(buf) + 1)
+        total = np.zeros(len(buf) + 1, _U)
+        np.cumsum(_TABLE[True][buf] * p[: len(buf)], out=total[1:])
+        spans = [(s, np.minimum(s + k, e)) for k in FIRST] + [(np.maximum(e - k, s), e) for k in LAST] + [(s, e)]
+        for k, (a, b) in enumerate(spans):
+            h = (total[b] - total[a]) * inv[a]
+            out[at:end, k] = (mix(h + _U(k)) >> _U(51)).astype(np.int32) + k * BUCKETS
+        at = end
     return out
 
 
@@ -94,9 +99,15 @@ class Network:
             adam.rate = 0.01 * (1 - k / rounds) + 0.0005
             chosen = [*r.choice(pos, batch // 2), *r.choice(neg, batch // 2)]
             rows, first, length, doc = [], [], [], []
+            others = np.zeros(len(chosen), np.float64)  # what a text's further windows add to -log of no toxic window
             at = 0
             for d, i in enumerate(chosen):
                 w, f, n = texts[i]
+                if len(f) > STEP_WINDOWS:
+                    low = self.logits(w, f, n)
+                    top = np.argpartition(-low, STEP_WINDOWS)
+                    others[d] = np.logaddexp(0, low[top[STEP_WINDOWS:]]).sum()
+                    f, n = f[top[:STEP_WINDOWS]], n[top[:STEP_WINDOWS]]
                 rows.append(w)
                 first.append(f + at)
                 length.append(n)
@@ -118,7 +129,7 @@ class Network:
             pooled = (a[:, :, None] * s).sum(0)
             logit = pooled @ p["out"] + p["bias"]
             soft = np.logaddexp(0, logit)
-            none = np.bincount(doc, soft, len(chosen))  # -log of the probability that no window is toxic
+            none = np.bincount(doc, soft, len(chosen)) + others  # -log of the probability that no window is toxic
             weight = np.where(y > 0, -1.0 / np.expm1(np.maximum(none, 1e-4)), 1.0)
             d = (np.clip(weight, -50, 50)[doc] * gru.sigmoid(logit) / batch).astype(f32)
             grads = {"out": pooled.T @ d, "bias": d.sum(keepdims=True)}
@@ -197,36 +208,25 @@ def _best_cut(logits: np.ndarray, toxic: np.ndarray, clean_weight: float = 1.0)
     return float((logits[order[k]] + low) / 2)
 
 
-def sample(docs: DataFrame, labels: DataFrame) -> list[tuple[int, list[str]]]:
-    """(toxic, windows' texts) of at most MAX_TOXIC and MAX_CLEAN labelled texts by a hash of doc_id; long texts give MAX_WINDOWS windows."""
-    chosen = labels.where("toxic in (0, 1) and doc_id is not null").select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic"))
+def sample(docs: DataFrame, labels: DataFrame) -> list[tuple[int, str]]:
+    """(toxic, text) of at most MAX_TOXIC and MAX_CLEAN labelled texts by a hash of doc_id.
+
+    Of rows with an equal doc_id one counts; a doc_id with both labels is toxic.
+    """
+    chosen = labels.where("toxic in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     top = lambda y, n: chosen.where(F.col("toxic") == y).orderBy(F.xxhash64("_id"), "_id").limit(n)
     few = F.broadcast(top(1, MAX_TOXIC).unionByName(top(0, MAX_CLEAN)))
-    rows = docs.join(few, F.col("doc_id") == F.col("_id")).select("doc_id", "toxic", "text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found: list[list[str]] = []
-            for i, j, buf, base in slices(column(b, "text")):
-                words = Words(buf, base, ALNUM)
-                doc, first, length = windows(words)
-                for d in range(j - i):
-                    own = np.flatnonzero(doc == d)
-                    own = np.random.default_rng(len(own)).permutation(own)[:MAX_WINDOWS]
-                    found.append([buf[words.starts[first[w]] : words.ends[first[w] + length[w] - 1]].tobytes().decode("utf-8", "ignore") for w in np.sort(own)])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array(found, pa.list_(pa.string()))], names=["doc_id", "toxic", "windows"])
-
-    got = rows.mapInArrow(run, "doc_id long, toxic int, windows array<string>").collect()
-    return [(r["toxic"], r["windows"]) for r in sorted(got, key=lambda r: (r["doc_id"], r["toxic"], r["windows"]))]
+    rows = docs.join(few, F.col("doc_id") == F.col("_id")).groupBy("_id", "toxic").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("one"))
+    return [(r["toxic"], r["text"] or "") for r in sorted(rows.select("_id", "toxic", "one.text").collect(), key=lambda r: r["_id"])]
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Network:
     """A trained network; with no labels of one kind it stays as it begins and finds nothing."""
     net, texts, toxic = Network.new(), [], []
-    for y, parts in sample(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels):
-        words = Words(*_joined(parts), ALNUM)
-        n = np.diff(words.off)
-        texts.append((inputs(words), words.off[:-1][n > 0], np.minimum(n[n > 0], WINDOW)))
+    for y, text in sample(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        words = Words(raw, np.array([0, len(raw)]), ALNUM)
+        texts.append((inputs(words), *windows(words)[1:]))
         toxic.append(y)
     if not (0 < sum(toxic) < len(toxic)):
         net.cut = 100.0
@@ -237,11 +237,6 @@ def fit(docs: DataFrame, labels: DataFrame) -> Network:
     return net
 
 
-def _joined(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    raw = [p.encode() for p in parts]
-    return np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in raw]))).astype(np.int64)
-
-
 def score(docs: DataFrame, net: Network) -> DataFrame:
     """doc_id, score, predicted and windows of every row; null and empty texts have score 0 and no window."""
 
@@ -254,7 +249,12 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Learns labels of rows whose crc32(doc_id as text) mod 3 isn't 1 and scores all documents; rows without doc_id are held out."""
+    """Learns labels of rows whose crc32(doc_id as text) mod 3 isn't 1 and scores all documents; rows without doc_id are held out.
+
+    A score depends on the text alone: repeated rows and ties get equal ones, null and empty texts 0, and texts of any length are
+    scored over all their windows. Null labels don't count; without labels of both kinds all scores are near 0. An empty table gives no
+    rows; other columns aren't read.
+    """
     remainder = lambda: F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(True))
     net = fit(docs.where(~remainder()), labels.where(~remainder()))
     return score(docs, net).select("doc_id", remainder().alias("held_out"), "score", "predicted", "windows")
