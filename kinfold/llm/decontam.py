@@ -1,21 +1,24 @@
 """Benchmark decontamination with spaced seeds.
 
-A seed is a mask over neighbouring words whose zeros are ignored. Hashes of the benchmark's words under the masks are kept as
-sorted arrays in the shared folder, in blocks of bounded size that workers memory-map; words of the documents are hashed under the same
-masks and looked up. Around each hit the document and the item are laid side by side, and the longest stretch is taken in
-which at least PERCENT of the words agree. A document is contaminated by an item if that has LEAST words, or the item's length if it is
-shorter (but SHORT at least). The masks find every stretch of 8 to 13 words with so many equal words (a test proves it), and so
-also longer ones, which hold such a stretch.
+A seed is a mask over neighbouring words whose zeros are ignored. Tasks hash the benchmark's words under the masks and write sorted
+arrays to the shared folder, in blocks that workers memory-map; words of the documents are hashed under the same masks and joined with
+these by search. Around each hit the document and the item are laid side by side, and the longest stretch is taken in which at
+least PERCENT of the words agree. A document is contaminated by an item if that has LEAST words, or the item's length if it is
+shorter. The masks find every stretch of 8 to 13 words with so many equal words (a test proves it), and so also longer ones, which hold
+such a stretch. Items of fewer than SHORT words are too short for masks with gaps: they contaminate documents that hold them word for
+word, found by the hash of the whole item.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import shared
 from .tokens import ALNUM, Words, column, mix, slices
@@ -23,17 +26,17 @@ from .tokens import ALNUM, Words, column, mix, slices
 _U = np.uint64
 MASKS = ("110111", "11001011", "11111")
 LEAST, SHORT, PERCENT = 13, 8, 80
-#: Words of the benchmark in a block of the index.
-BLOCK_WORDS = 2_000_000
+#: Bytes of the benchmark's texts in a block of the index, about; hits that are looked at together.
+BLOCK_BYTES, HITS = 10_000_000, 1_000_000
 
 
 def seeds(h: np.ndarray, mask: str) -> np.ndarray:
-    """The hash under the mask at each word that has enough words after it."""
-    n = len(h) - len(mask) + 1
+    """The hash under the mask at each word that has enough words after it; a mask that ends in `!` is a whole item."""
+    n = len(h) - len(mask.rstrip("!")) + 1
     if n <= 0:
         return np.empty(0, _U)
-    key = np.full(n, len(mask) * 1000 + int(mask, 2), _U)
-    for k, c in enumerate(mask):
+    key = np.full(n, len(mask) * 1000 + int(mask.replace("!", "0"), 2), _U)
+    for k, c in enumerate(mask.rstrip("!")):
         if c == "1":
             key = key * _U(0x9E3779B97F4A7C15) + h[k : k + n]
     return mix(key)
@@ -42,66 +45,81 @@ def seeds(h: np.ndarray, mask: str) -> np.ndarray:
 @dataclass
 class Index:
     folder: str
-    blocks: list[tuple[int, int]]  # items and words of each
+    blocks: list[str]
+    text_ids: bool = False
 
-    def array(self, name: str, block: int, dtype) -> np.ndarray:
-        uri = f"{self.folder}/{name}-{block:06d}"
+    @property
+    def id_type(self) -> T.DataType:
+        return T.StringType() if self.text_ids else T.LongType()
+
+    def array(self, name: str, block: str, dtype) -> np.ndarray:
+        return self._get(f"{self.folder}/{name}-{block}", lambda uri: shared.map_array(uri, dtype))
+
+    def ids(self, block: str) -> list:
+        return self._get(f"{self.folder}/ids-{block}", lambda uri: json.loads(shared.read_file(uri)))
+
+    def _get(self, uri: str, load):
         if uri not in _mapped:
             if len(_mapped) > 5000:
                 _mapped.clear()
-            _mapped[uri] = shared.map_array(uri, dtype)
+            _mapped[uri] = load(uri)
         return _mapped[uri]
 
 
 _mapped: dict[str, np.ndarray] = {}
 
 
-def build(benchmark: DataFrame, folder: str, block_words: int = BLOCK_WORDS) -> Index:
-    """Writes the index of items (item_id, text); items without id or text, or of fewer than SHORT words, are left out.
+def build(benchmark: DataFrame, folder: str, block_bytes: int = BLOCK_BYTES) -> Index:
+    """Writes the index of items (item_id, text); items without id, text or words are left out. Ids are whole numbers or texts.
 
-    The items stream through the driver one partition at a time; a block, not the benchmark, is what it holds.
+    Each task writes the block of its items, so that the driver sees block names alone. Repeated items count once each.
     """
     shared.make_dir(folder)
-    index = Index(folder, [])
-    ids: list[int] = []
-    words: list[np.ndarray] = []
-
-    def flush() -> None:
+    kind = benchmark.schema["item_id"].dataType
+    if not isinstance(kind, (T.StringType, T.IntegralType)):
+        raise TypeError(f"item_id is {kind.simpleString()}, not a whole number or a text")
+    items = benchmark.where("item_id is not null and text is not null").select("item_id", "text")
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, words = [], []
+        for b in batches:
+            ids += b.column("item_id").to_pylist()
+            for _, _, buf, base in slices(column(b, "text")):
+                w = Words(buf, base, ALNUM)
+                words += np.split(w.hashes(), w.off[1:-1])
+        own = [k for k, w in enumerate(words) if len(w)]
+        if not own:
+            return
+        words = [words[k] for k in own]
         n = np.array([len(w) for w in words])
         off = np.concatenate(([0], np.cumsum(n))).astype("<i8")
         all_ = np.concatenate(words)
         keys, at = [], []
         for mask in MASKS:
             k = seeds(all_, mask)
-            own = np.repeat(np.arange(len(n)), n)[: len(k)]
-            fits = np.arange(len(k)) + len(mask) <= off[1:][own]
+            item = np.repeat(np.arange(len(n)), n)[: len(k)]
+            fits = (np.arange(len(k)) + len(mask) <= off[1:][item]) & (n[item] >= SHORT)
             keys.append(k[fits])
             at.append(np.flatnonzero(fits))
+        for length in range(1, SHORT):
+            first = off[:-1][n == length]
+            if len(first):
+                keys.append(seeds(all_, "1" * length + "!")[first])
+                at.append(first)
         keys, at = np.concatenate(keys), np.concatenate(at)
         order = np.argsort(keys, kind="stable")
-        b = len(index.blocks)
         sieve = np.zeros(1 << 22, bool)
         sieve[(keys >> _U(42)).astype(np.int64)] = True
-        for name, a in (("ids", np.array(ids, "<i8")), ("off", off), ("words", all_.astype("<u8")), ("keys", keys[order].astype("<u8")), ("at", at[order].astype("<i8")), ("sieve", sieve)):
-            shared.write_file(folder, f"{name}-{b:06d}", a.tobytes())
-        index.blocks.append((len(ids), len(all_)))
-        ids.clear()
-        words.clear()
-
-    held = 0
-    for r in benchmark.where("item_id is not null and text is not null").select("item_id", "text").toLocalIterator():
-        raw = np.frombuffer(r["text"].encode(), np.uint8)
-        h = Words(raw, np.array([0, len(raw)]), ALNUM).hashes() if len(raw) else np.empty(0, _U)
-        if len(h) >= SHORT:
-            ids.append(r["item_id"])
-            words.append(h)
-            held += len(h)
-            if held >= block_words:
-                flush()
-                held = 0
-    if ids:
-        flush()
-    return index
+        lengths = np.unique(n[n < SHORT])
+        name = f"{TaskContext.get().partitionId():06d}"
+        shared.write_file(folder, f"ids-{name}", json.dumps([ids[k] for k in own]).encode())
+        for what, a in (("off", off), ("words", all_.astype("<u8")), ("keys", keys[order].astype("<u8")), ("at", at[order].astype("<i8")), ("short", lengths.astype("<i8")), ("sieve", sieve)):
+            shared.write_file(folder, f"{what}-{name}", a.tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array([name])], names=["block"])
+
+    blocks = items.repartition(int(max(1, -(-size // block_bytes)))).mapInArrow(write, "block string").collect()
+    return Index(folder, sorted(r["block"] for r in blocks), isinstance(kind, T.StringType))
 
 
 def longest(equal: np.ndarray) -> int:
@@ -113,72 +131,90 @@ def longest(equal: np.ndarray) -> int:
     return int((ends - lows).max(initial=0))
 
 
-def hits(index: Index, words: Words) -> dict[int, dict[int, int]]:
+def hits(index: Index, words: Words) -> dict[int, dict]:
     """For each text with hits the items that contaminate it and their longest stretch."""
-    found: dict[int, dict[int, int]] = {}
+    found: dict[int, dict] = {}
     h = words.hashes()
-    keys = [seeds(h, m) for m in MASKS]
+    keys = {m: seeds(h, m) for m in MASKS}
     doc = words.doc()
-    for b in range(len(index.blocks)):
+    for b in index.blocks:
         known, at = index.array("keys", b, "<u8"), index.array("at", b, "<i8")
         sieve = index.array("sieve", b, bool)
-        off, item_ids, own = index.array("off", b, "<i8"), index.array("ids", b, "<i8"), index.array("words", b, "<u8")
-        pairs = []
-        for mask, k in zip(MASKS, keys):
+        off, item_ids, own = index.array("off", b, "<i8"), index.ids(b), index.array("words", b, "<u8")
+        for length in index.array("short", b, "<i8").tolist():
+            mask = "1" * length + "!"
+            if mask not in keys:
+                keys[mask] = seeds(h, mask)
+        pairs = np.empty((0, 3), np.int64)
+        for mask, k in keys.items():
+            span = len(mask.rstrip("!"))
             place = np.flatnonzero(sieve[(k >> _U(42)).astype(np.int64)])
             if not len(place):
                 continue
-            place = place[place + len(mask) <= words.off[1:][doc[place]]]
+            place = place[place + span <= words.off[1:][doc[place]]]
             lo, hi = np.searchsorted(known, k[place], "left"), np.searchsorted(known, k[place], "right")
-            n = hi - lo
-            if not n.sum():
-                continue
-            w = np.repeat(place, n)
-            x = at[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-            pairs.append(np.stack((doc[w], np.searchsorted(off, x, "right") - 1, w - x), axis=1))
-        if not pairs:
-            continue
-        for d, i, shift in np.unique(np.concatenate(pairs), axis=0):  # each text, item and diagonal once
+            place, lo, n = place[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
+            begin = 0
+            total = np.cumsum(n)
+            while begin < len(n):  # some hits at a time: words that repeat in a text and in an item make many on few diagonals
+                end = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + HITS, "right")))
+                m = n[begin:end]
+                w = np.repeat(place[begin:end], m)
+                x = at[np.repeat(lo[begin:end] - (np.cumsum(m) - m), m) + np.arange(m.sum())]
+                new = np.stack((doc[w], np.searchsorted(off, x, "right") - 1, w - x), axis=1)
+                pairs = np.unique(np.concatenate((pairs, new)), axis=0)
+                begin = end
+        for d, i, shift in pairs:  # each text, item and diagonal once
             lo, hi = max(int(words.off[d]), int(off[i] + shift)), min(int(words.off[d + 1]), int(off[i + 1] + shift))
-            n = longest(h[lo:hi] == own[lo - shift : hi - shift])
-            if n >= min(LEAST, int(off[i + 1] - off[i])):
+            equal, size = h[lo:hi] == own[lo - shift : hi - shift], int(off[i + 1] - off[i])
+            n = longest(equal) if size >= SHORT else size * bool(len(equal) == size and equal.all())
+            if n >= min(LEAST, size):
                 mine = found.setdefault(int(d), {})
-                mine[int(item_ids[i])] = max(n, mine.get(int(item_ids[i]), 0))
+                key = item_ids[int(i)]
+                mine[key] = max(n, mine.get(key, 0))
     return found
 
 
 def scan(docs: DataFrame, index: Index) -> DataFrame:
-    """All columns of docs, and `_hits`: an array of (item_id, words) of the items that contaminate the row; null texts have none."""
-    from pyspark.sql import types as T
+    """`row`, a struct of a row of docs as it is, and `hits`: an array of (item_id, words) of the items that contaminate it.
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("_hits", T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("words", T.LongType())])))])
-    kind = pa.list_(pa.struct([("item_id", pa.int64()), ("words", pa.int64())]))
+    Null and empty texts have none; repeated rows have the same ones; very long texts are searched whole. Other columns, whatever their
+    names, are only passed on.
+    """
+    at = docs.columns.index("text")
+    kind = T.ArrayType(T.StructType([T.StructField("item_id", index.id_type), T.StructField("words", T.LongType())]))
+    schema = T.StructType([T.StructField("row", docs.schema), T.StructField("hits", kind)])
+    arrow = pa.list_(pa.struct([("item_id", pa.string() if index.text_ids else pa.int64()), ("words", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[list[dict]] = [[] for _ in range(b.num_rows)]
-            for i, _, buf, base in slices(column(b, "text")):
+            texts = b.column("row").field(at).cast(pa.large_string()).fill_null("")
+            for i, _, buf, base in slices(texts):
                 for d, items in hits(index, Words(buf, base, ALNUM)).items():
                     out[i + d] = [{"item_id": k, "words": n} for k, n in sorted(items.items())]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, kind)], names=[*b.schema.names, "_hits"])
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(out, arrow)], names=["row", "hits"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.select(F.struct("*").alias("row")).mapInArrow(run, schema)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Per row: doc_id, contaminated, n_items, item_ids (ascending) and longest (words of the longest stretch, 0 without)."""
+    """Per row: doc_id, contaminated, n_items, item_ids (ascending) and longest (words of the longest stretch, 0 without).
+
+    An empty benchmark contaminates nothing, and empty documents give no rows. Repeated rows are judged one by one.
+    """
     index = build(benchmark, shared.shared_dir(docs.sparkSession))
     rows = scan(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), index)
     return rows.select(
-        "doc_id",
-        (F.size("_hits") > 0).alias("contaminated"),
-        F.size("_hits").cast("long").alias("n_items"),
-        F.transform("_hits", lambda x: x["item_id"]).alias("item_ids"),
-        F.coalesce(F.array_max(F.transform("_hits", lambda x: x["words"])), F.lit(0)).alias("longest"),
+        F.col("row.doc_id").alias("doc_id"),
+        (F.size("hits") > 0).alias("contaminated"),
+        F.size("hits").cast("long").alias("n_items"),
+        F.transform("hits", lambda x: x["item_id"]).alias("item_ids"),
+        F.coalesce(F.array_max(F.transform("hits", lambda x: x["words"])), F.lit(0)).alias("longest"),
     )
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that no item contaminates, with their columns."""
+    """The rows of docs that no item contaminates, as they are."""
     index = build(benchmark, shared.shared_dir(docs.sparkSession))
-    return scan(docs, index).where(F.size("_hits") == 0).drop("_hits")
+    return scan(docs, index).where(F.size("hits") == 0).select("row.*")
