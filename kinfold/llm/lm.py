@@ -3,9 +3,11 @@
 The model is a folder of sorted arrays in shards:
 
 * words: sorted 64-bit word hashes (a shard is a range of hashes) and their counts. A word's id is its rank.
-* pairs: sorted keys (id of the word before << 32 | id) with counts (a shard is a range of the word before). The word before
-  the first is the id V; the last token of a text is an end token.
-* before: per word before, how often it was followed and by how many words once, twice, and more often.
+* pairs: sorted keys (id of the word before << 32 | id) with counts, in a byte each and a list of the larger ones. A shard is a
+  range of the word before; the pairs of a word with more than a shard's share of the tokens are dealt to shards of their own by the
+  word after. The word before the first is the id V; the last token of a text is an end token.
+* before: per word before, how often it was followed and by how many words once, twice, and more often. Of the frequent words these
+  are sums over their shards, in the model itself: there are no more such shards than twice the others.
 * after: per word, how many different words it follows.
 
 Each map task counts its part in sorted arrays and sends one compressed block to each shard; a shard's task merges the blocks and
@@ -66,7 +68,7 @@ def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
 def pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
     """Sorted keys as differences, byte by byte, compressed; then the counts."""
     gaps = np.diff(keys, prepend=_U(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
-    wide = counts.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
+    wide = counts.astype(np.uint64).view(np.uint8).reshape(-1, 8).T.tobytes()
     a, b = (pa.compress(x, codec="zstd", asbytes=True) for x in (gaps, wide))
     return struct.pack("<QQ", len(keys), len(a)) + a + b
 
@@ -74,17 +76,20 @@ def pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
 def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     n, size = struct.unpack_from("<QQ", data)
     a = pa.decompress(data[16 : 16 + size], decompressed_size=8 * n, codec="zstd", asbytes=True)
-    b = pa.decompress(data[16 + size :], decompressed_size=4 * n, codec="zstd", asbytes=True)
+    b = pa.decompress(data[16 + size :], decompressed_size=8 * n, codec="zstd", asbytes=True)
     keys = np.cumsum(np.ascontiguousarray(np.frombuffer(a, np.uint8).reshape(8, n).T).view(_U).reshape(-1), dtype=_U)
-    return keys, np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4, n).T).view(np.uint32).reshape(-1).astype(np.int64)
+    return keys, np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, n).T).view(np.uint64).reshape(-1).astype(np.int64)
 
 
 BLOCKS = pa.schema([("shard", pa.int64()), ("block", pa.binary())])
 
 
 def blocks(keys: np.ndarray, counts: np.ndarray, shard: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """A row for each shard that has keys; shard is ascending."""
+    """A row for each shard that has keys; keys ascend."""
     if len(keys):
+        if (shard[1:] < shard[:-1]).any():
+            order = np.argsort(shard, kind="stable")
+            keys, counts, shard = keys[order], counts[order], shard[order]
         at = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1])))
         rows = [{"shard": int(shard[i]), "block": pack(keys[i:j], counts[i:j])} for i, j in zip(at, [*at[1:], len(keys)])]
         yield pa.RecordBatch.from_pylist(rows, schema=BLOCKS)
@@ -130,6 +135,11 @@ class Model:
     low_discounts: tuple[float, ...] = (0.5, 1.0, 1.5)
     low_spread: float = 0.0
     kinds: int = 0
+    #: Frequent words before: ids, the first of their own shards, how many they have, and their rows of BEFORE.
+    hot: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
+    hot_first: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
+    hot_parts: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
+    hot_rows: np.ndarray | None = None
 
     def __post_init__(self):
         self.size = sum(self.words.values())
@@ -141,6 +151,40 @@ class Model:
     def shard_of(self, before: np.ndarray) -> np.ndarray:
         return (before.astype(_U) * _U(self.pair_shards) // _U(self.size + 1)).astype(np.int64)
 
+    def hot_of(self, before: np.ndarray) -> np.ndarray:
+        """Which of the frequent words each is, or -1."""
+        if not len(self.hot):
+            return np.full(len(before), -1, np.int64)
+        at = np.searchsorted(self.hot, before)
+        at[at == len(self.hot)] = 0
+        return np.where(self.hot[at] == before, at, -1)
+
+    def own_shard(self, which: np.ndarray, now: np.ndarray) -> np.ndarray:
+        """The shard of a frequent word's pair with `now`."""
+        return self.hot_first[which] + (mix(now.astype(_U)) % self.hot_parts[which].astype(_U)).astype(np.int64)
+
+    def pair_shard(self, keys: np.ndarray) -> np.ndarray:
+        before = (keys >> _U(32)).astype(np.int64)
+        out, which = self.shard_of(before), self.hot_of(before)
+        own = np.flatnonzero(which >= 0)
+        out[own] = self.own_shard(which[own], keys[own] & _U(0xFFFFFFFF))
+        return out
+
+    def split(self, ids: np.ndarray, counts: np.ndarray) -> None:
+        """Gives words with more than a shard's share of the tokens shards of their own."""
+        share = max(1, self.tokens // self.pair_shards)
+        keep = np.argsort(ids)[counts[np.argsort(ids)] > share]
+        self.hot, parts = ids[keep], -(-counts[keep] // share)
+        self.hot_parts, self.hot_first = parts, self.pair_shards + np.cumsum(parts) - parts
+
+    def pair_counts(self, shard: int, at: np.ndarray) -> np.ndarray:
+        """Counts at places of a shard's pairs."""
+        c = self.array("paircounts", shard, np.uint8)[at].astype(np.int64)
+        large = np.flatnonzero(c == 255)
+        if len(large):
+            c[large] = self.array("largecounts", shard, "<i8")[np.searchsorted(self.array("largeplaces", shard, "<i8"), at[large])]
+        return c
+
     def first_of(self, shard: int) -> int:
         return -(-shard * (self.size + 1) // self.pair_shards)
 
@@ -234,17 +278,23 @@ def fit(docs: DataFrame, folder: str) -> Model:
     def write_words(shard, keys, counts):
         shared.write_file(folder, f"words-{shard:06d}", keys.astype("<u8").tobytes())
         shared.write_file(folder, f"counts-{shard:06d}", counts.astype("<u8").tobytes())
-        return {"shard": shard, "n": len(keys), "total": int(counts.sum())}
+        total = int(counts.sum())
+        often = np.flatnonzero(counts > total >> bits)  # may have more than a shard's share of all; 2 ** bits at most
+        return {"shard": shard, "n": len(keys), "total": total, "often": often.tolist(), "times": counts[often].tolist()}
 
-    found = per_shard(texts.mapInArrow(count_words, "shard long, block binary"), write_words, "shard long, n long, total long").collect()
+    found = per_shard(texts.mapInArrow(count_words, "shard long, block binary"), write_words, "shard long, n long, total long, often array<long>, times array<long>").collect()
     model = Model(folder, bits, {r["shard"]: r["n"] for r in found}, 1 << bits)
     model.tokens = sum(r["total"] for r in found)
+    ends = model.by_word("counts", model.ids(np.array([END])), "<u8").astype(np.int64) if model.size else np.empty(0, np.int64)
+    often = [np.array([model.base[r["shard"]] + k for k in r["often"]], np.int64) for r in found]
+    times = [np.array(r["times"], np.int64) for r in found]
+    model.split(np.concatenate([*often, np.full(len(ends), model.size)]), np.concatenate([*times, ends]))
     if model.size >= (1 << 32) - 1:
         raise ValueError("more different words than 32-bit ids")
 
     def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = Counter()
-        send = lambda k, n: blocks(k, n, model.shard_of(k >> _U(32)))
+        send = lambda k, n: blocks(k, n, model.pair_shard(k))
         for b in batches:
             for _, h, off in tokens_of(column(b, "text")):
                 now, prev, _ = before_after(model, h, off)
@@ -255,25 +305,36 @@ def fit(docs: DataFrame, folder: str) -> Model:
         yield from send(*c.merge())
 
     def write_pairs(shard, keys, counts):
-        first, end = model.first_of(shard), model.first_of(shard + 1)
-        before = (keys >> _U(32)).astype(np.int64) - first
-        table = np.zeros(end - first, BEFORE)
-        table["total"] = np.bincount(before, counts, end - first).astype(np.int64)
-        for name, chosen in (("one", counts == 1), ("two", counts == 2), ("more", counts > 2)):
-            table[name] = np.bincount(before[chosen], minlength=end - first)
+        row = {"total": int(counts.sum()), "one": int((counts == 1).sum()), "two": int((counts == 2).sum()), "more": int((counts > 2).sum())}
+        if shard < model.pair_shards:
+            first, end = model.first_of(shard), model.first_of(shard + 1)
+            before = (keys >> _U(32)).astype(np.int64) - first
+            table = np.zeros(end - first, BEFORE)
+            np.add.at(table["total"], before, counts)
+            for name, chosen in (("one", counts == 1), ("two", counts == 2), ("more", counts > 2)):
+                table[name] = np.bincount(before[chosen], minlength=end - first)
+            shared.write_file(folder, f"before-{shard:06d}", table.tobytes())
+        large = np.flatnonzero(counts >= 255)
         shared.write_file(folder, f"pairs-{shard:06d}", keys.astype("<u8").tobytes())
-        shared.write_file(folder, f"paircounts-{shard:06d}", counts.astype("<u4").tobytes())
-        shared.write_file(folder, f"before-{shard:06d}", table.tobytes())
-        out = {"shard": shard, "n": len(keys)} | {f"n{k}": int((counts == k).sum()) for k in range(1, 5)}
+        shared.write_file(folder, f"paircounts-{shard:06d}", np.minimum(counts, 255).astype(np.uint8).tobytes())
+        shared.write_file(folder, f"largeplaces-{shard:06d}", large.astype("<i8").tobytes())
+        shared.write_file(folder, f"largecounts-{shard:06d}", counts[large].astype("<i8").tobytes())
+        out = {"shard": shard, "n": len(keys), **row} | {f"n{k}": int((counts == k).sum()) for k in range(1, 5)}
         after, times = np.unique(keys & _U(0xFFFFFFFF), return_counts=True)
         return out | {"after": pack(after, times)}
 
-    columns = "shard long, n long, n1 long, n2 long, n3 long, n4 long, after binary"
+    columns = "shard long, n long, total long, one long, two long, more long, n1 long, n2 long, n3 long, n4 long, after binary"
     shared.ensure_checkpoint(spark)
     made = per_shard(texts.mapInArrow(count_pairs, "shard long, block binary"), write_pairs, columns).checkpoint()
     stats = made.drop("after").collect()
     model.pairs = {r["shard"]: r["n"] for r in stats}
     model.discounts = discounts([sum(r[f"n{k}"] for r in stats) for k in range(1, 5)])
+    model.hot_rows = np.zeros(len(model.hot), BEFORE)
+    for r in stats:
+        if r["shard"] >= model.pair_shards:
+            k = np.searchsorted(model.hot_first, r["shard"], "right") - 1
+            for name in BEFORE.names:
+                model.hot_rows[name][k] += r[name]
     starts = np.array([model.base[s] for s in sorted(model.words)] or [0], np.int64)
     shards = np.array(sorted(model.words) or [0], np.int64)
 
@@ -305,7 +366,7 @@ def fit(docs: DataFrame, folder: str) -> Model:
     return model
 
 
-BEFORE = np.dtype([("total", "<i8"), ("one", "<u4"), ("two", "<u4"), ("more", "<u4")])
+BEFORE = np.dtype([("total", "<i8"), ("one", "<i8"), ("two", "<i8"), ("more", "<i8")])
 
 
 def _less(counts: np.ndarray, d: tuple[float, ...]) -> np.ndarray:
@@ -329,20 +390,30 @@ def probabilities(model: Model, now: np.ndarray, prev: np.ndarray) -> np.ndarray
     usable = np.flatnonzero(before <= model.size)
     high, spread = np.zeros(len(keys)), np.ones(len(keys))
     d1, d2, d3 = model.discounts
-    for s, i, j in _segments(model.shard_of(before[usable])):
-        if s not in model.pairs:
-            continue
-        own = usable[i:j]
-        table = model.array("before", s, BEFORE)[before[own] - model.first_of(s)]
+
+    def add(own: np.ndarray, table: np.ndarray, shard: int | None) -> None:
         total = table["total"]
-        a = model.array("pairs", s, "<u8")
-        at = np.searchsorted(a, keys[own])
-        at[at == len(a)] = 0
-        count = np.where(a[at] == keys[own], model.array("paircounts", s, "<u4")[at], 0)
-        seen = total > 0
-        whole = np.maximum(total, 1)
+        count = np.zeros(len(own), np.int64)
+        if shard in model.pairs:
+            a = model.array("pairs", shard, "<u8")
+            at = np.searchsorted(a, keys[own])
+            at[at == len(a)] = 0
+            hit = a[at] == keys[own]
+            count[hit] = model.pair_counts(shard, at[hit])
+        seen, whole = total > 0, np.maximum(total, 1)
         high[own] = np.where(seen, _less(count, model.discounts) / whole, 0.0)
         spread[own] = np.where(seen, (d1 * table["one"] + d2 * table["two"] + d3 * table["more"]) / whole, 1.0)
+
+    which = model.hot_of(before[usable])
+    plain, often = usable[which < 0], usable[which >= 0]
+    for s, i, j in _segments(model.shard_of(before[plain])):
+        if s in model.pairs:
+            add(plain[i:j], model.array("before", s, BEFORE)[before[plain[i:j]] - model.first_of(s)], s)
+    which = which[which >= 0]
+    shard = model.own_shard(which, keys[often] & _U(0xFFFFFFFF))
+    order = np.argsort(shard, kind="stable")
+    for s, i, j in _segments(shard[order]):
+        add(often[order[i:j]], model.hot_rows[which[order[i:j]]], s)
     return high[back] + spread[back] * p
 
 
@@ -371,7 +442,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
-    """Learns from the documents whose crc32(doc_id as text) mod 10 isn't 0 and scores all; rows without doc_id are held out."""
+    """Learns from the documents whose crc32(doc_id as text) mod 10 isn't 0 and scores all; rows without doc_id are held out.
+
+    Null and empty texts are one end token. Repeated rows count each in training and get equal scores, as do ties; very long texts are
+    read whole, some megabytes at a time. Without training texts all words are equally likely; an empty table gives no rows. Other columns
+    aren't read.
+    """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 10 == 0, F.lit(True))
     model = fit(docs.where(~held), shared.shared_dir(docs.sparkSession))
