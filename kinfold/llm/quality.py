@@ -8,6 +8,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 SPACE = r"[\x20\x09-\x0D]"
@@ -65,9 +66,9 @@ def repeat_words(words: Column) -> Column:
 FEATURES = ("n_words", "word_len", "symbols", "bangs", "bars", "upper", "digits", "dup_lines", "repeats")
 
 
-def with_statistics(docs: DataFrame, prefix: str = "") -> DataFrame:
-    """docs with column `{prefix}stats`: a struct of the base counts and the learner's ratios of every whole text."""
-    text = F.coalesce(F.col("text"), F.lit(""))
+def statistics(column: Column) -> Column:
+    """A struct of the base counts and the learner's ratios of a whole text; null is empty."""
+    text = F.coalesce(column, F.lit(""))
     few = F.regexp_replace(text, r"[\x20a-z\x80-\x{10FFFF}]+", "")  # what is counted below stays
 
     def with_words(ws):
@@ -111,8 +112,8 @@ def with_statistics(docs: DataFrame, prefix: str = "") -> DataFrame:
             count_chars(t, "0123456789").alias("digits"),
         )
 
-    parts = F.struct(let(words_of(F.col("text")), with_words).alias("w"), let(few, with_few).alias("x"), let(lines, with_lines).alias("l"))
-    return docs.withColumn(f"{prefix}stats", let(parts, lambda v: final(v["w"], v["x"], v["l"])))
+    parts = F.struct(let(words_of(text), with_words).alias("w"), let(few, with_few).alias("x"), let(lines, with_lines).alias("l"))
+    return let(parts, lambda v: final(v["w"], v["x"], v["l"]))
 
 
 @dataclass
@@ -150,28 +151,35 @@ class DecisionList:
         return next((k for k, r in enumerate(self.rules, 1) if r.holds(row)), None)
 
 
-def _cuts(values: list[float], most: int = 40) -> list[float]:
-    v = sorted(set(values))
-    mids = [(a + b) / 2 for a, b in zip(v, v[1:])]
-    return mids if len(mids) <= most else [mids[round(i * (len(mids) - 1) / (most - 1))] for i in range(most)]
+def _best(values: np.ndarray, bad: np.ndarray) -> tuple[float, str, float] | None:
+    """(gain, operator, threshold) of the best condition on one statistic; thresholds are the middles of all neighbouring values."""
+    order = np.argsort(values, kind="stable")
+    v, y = values[order], bad[order]
+    ends = np.flatnonzero(v[1:] > v[:-1])
+    if not len(ends):
+        return None
+    p0, n0 = int(y.sum()), int(len(y) - y.sum())
+    p, n = np.cumsum(y)[ends].astype(float), np.cumsum(1 - y)[ends].astype(float)
+    found = None
+    for op, p, n in (("<=", p, n), (">", p0 - p, n0 - n)):
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gain = np.where(p > 0, p * (np.log2(p / (p + n)) - math.log2(p0 / (p0 + n0))), -np.inf)
+        k = int(np.argmax(gain))
+        if found is None or gain[k] > found[0] + 1e-12:
+            found = (float(gain[k]), op, float((v[ends[k]] + v[ends[k] + 1]) / 2))
+    return found
 
 
 def _grow(bad: list[dict], good: list[dict], names) -> Rule:
     """Adds the condition of largest information gain until the rule covers no good row."""
     conditions: list[tuple[str, str, float]] = []
-    while good and len(conditions) < 4:
-        p0, n0 = len(bad), len(good)
+    while bad and good and len(conditions) < 4:
+        y = np.array([1] * len(bad) + [0] * len(good))
         best, gain = None, 1e-9
         for name in names:
-            for t in _cuts([r[name] for r in bad + good]):
-                for op in ("<=", ">"):
-                    p = sum((r[name] <= t) == (op == "<=") for r in bad)
-                    if not p:
-                        continue
-                    n = sum((r[name] <= t) == (op == "<=") for r in good)
-                    g = p * (math.log2(p / (p + n)) - math.log2(p0 / (p0 + n0)))
-                    if g > gain:
-                        best, gain = (name, op, t), g
+            found = _best(np.array([r[name] for r in bad + good], float), y)
+            if found and found[0] > gain:
+                best, gain = (name, *found[1:]), found[0]
         if best is None:
             break
         conditions.append(best)
@@ -219,17 +227,21 @@ def learn(rows: list[tuple[dict, int]], names=FEATURES, precision: float = 0.95,
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DecisionList:
     """The decision list from at most max_rows labelled documents, chosen by a hash of doc_id.
 
-    Null labels don't count, nor do documents that fail the base anyway.
+    Null labels don't count, nor do documents that fail the base anyway. Empty tables give an empty list. A doc_id with several
+    rows counts with one of them, the first by a hash of its text; one with several labels counts with the least.
     """
     chosen = (
         labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
-        .select("doc_id", F.col("quality").cast("int").alias("_y"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "_y")
+        .groupBy(F.col("doc_id").alias("_id"))
+        .agg(F.min(F.col("quality").cast("int")).alias("_y"))
+        .orderBy(F.xxhash64("_id"), "_id")
         .limit(max_rows)
     )
-    value = lambda n: F.col("_stats")[n]
-    rows = with_statistics(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "_").where(~base_failed(value)).select("doc_id", "_y", *[F.col("_stats")[n].alias(n) for n in FEATURES])
-    found = sorted((r.asDict() for r in rows.collect()), key=lambda r: (r["doc_id"], r["_y"]))
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+    one = texts.groupBy("_id", "_y").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("first")).select("_id", "_y", F.col("first.text").alias("text"))
+    # what fails the base is left out below: as a filter here, Spark would compute the statistics of all documents, ahead of the join
+    rows = one.select("_id", "_y", statistics(F.col("text")).alias("_stats")).select("_id", "_y", "_stats.*").collect()
+    found = sorted((r.asDict() for r in rows if not (r["words"] < 20 or 100 * r["n_repeat_words"] > 30 * r["words"])), key=lambda r: (r["_id"], r["_y"]))
     return learn([(r, r["_y"]) for r in found])
 
 
@@ -237,22 +249,20 @@ def base_failed(value) -> Column:
     return (value("words") < 20) | (100 * value("n_repeat_words") > 30 * value("words"))
 
 
-def apply_rules(docs: DataFrame, rules: DecisionList) -> DataFrame:
-    """docs with `_q`: a struct of the base counts, base_failed, rule (the first that rejects, or null) and kept.
+def judge(docs: DataFrame, rules: DecisionList) -> DataFrame:
+    """`row`, a struct of a row of docs as it is, and `q`: the base counts, base_failed, rule (the first that rejects, or null), kept.
 
-    Null and empty texts have no words, so they fail the base; ties and repeated rows are judged one by one; other columns stay.
+    Null and empty texts have no words, so they fail the base; ties and repeated rows are judged one by one, very long texts as a
+    whole; an empty table gives no rows. Other columns, whatever their names, are only passed on.
     """
-    s = with_statistics(docs, "_q_")
-    value = lambda n: F.col("_q_stats")[n]
+    s = docs.select(F.struct("*").alias("row"), statistics(F.col("text")).alias("stats"))
+    value = lambda n: F.col("stats")[n]
     failed = base_failed(value)
     rule = rules.column(value)
-    return s.withColumn(
-        "_q",
-        F.struct(
-            value("words").alias("n_words"),
-            *[value(n) for n in ("word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
-            failed.alias("base_failed"),
-            rule.alias("rule"),
-            (~failed & rule.isNull()).alias("kept"),
-        ),
-    ).drop("_q_stats")
+    counts = [value("words").alias("n_words"), *[value(n).alias(n) for n in ("word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]]
+    return s.select("row", F.struct(*counts, failed.alias("base_failed"), rule.alias("rule"), (~failed & rule.isNull()).alias("kept")).alias("q"))
+
+
+def kept(docs: DataFrame, rules: DecisionList) -> DataFrame:
+    """The rows of docs that pass, as they are."""
+    return judge(docs, rules).where("q.kept").select("row.*")
