@@ -80,11 +80,33 @@ def penalty(x: Column) -> Column:
     return F.log10(F.lit(1.0) + x)
 
 
+def _lost(a: Column, b: Column) -> Column:
+    """What the rounded product of two doubles lacks, exactly: both are split into halves whose products are exact."""
+    half = lambda x: x * F.lit(134217729.0) - (x * F.lit(134217729.0) - x)
+    ah, bh = half(a), half(b)
+    al, bl = a - ah, b - bh
+    return ((ah * bh - a * b) + ah * bl + al * bh) + al * bl
+
+
 def six_digits(x: Column) -> Column:
-    """x rounded to six significant digits, as %g prints it."""
-    power = F.floor(F.log10(F.abs(x)))
-    scale = F.pow(F.lit(10.0), F.lit(5) - power)
-    return F.when(x.isNull() | F.isnan(x) | (x == 0), x).otherwise(F.round(x * scale) / scale)
+    """x rounded to six significant digits as %g prints it: half to even, where the number is just half."""
+
+    def rounded(v):
+        size, power, y, off = v["size"], v["power"], v["y"], v["off"]
+        whole = F.floor(y)
+        up = F.when(y - whole != 0.5, y - whole > 0.5).when(off != 0, off > 0).otherwise(F.pmod(whole, F.lit(2)) == 1)
+        digits = (whole + up.cast("long")).cast("double")
+        return F.signum(v["x"]) * F.when(power >= 0, digits / size).otherwise(digits * size)
+
+    def scaled(v):
+        a, size, power = F.abs(v["x"]), v["size"], v["power"]
+        y = F.when(power >= 0, a * size).otherwise(a / size)
+        off = F.when(power >= 0, _lost(a, size)).otherwise((a - a / size * size) - _lost(a / size, size))
+        return F.struct(v["x"].alias("x"), size.alias("size"), power.alias("power"), y.alias("y"), off.alias("off"))
+
+    power = F.lit(5) - F.floor(F.log10(F.abs(x)))
+    first = F.struct(x.alias("x"), F.pow(F.lit(10.0), F.abs(power)).alias("size"), power.alias("power"))
+    return F.when(x.isNull() | F.isnan(x) | (x == 0), x).otherwise(let(first, lambda v: let(scaled(v), rounded)))
 
 
 def cosine(a: Column, b: Column) -> Column:

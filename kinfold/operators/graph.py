@@ -9,7 +9,9 @@ from __future__ import annotations
 import heapq
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
+
+from ..sources import scratch
 
 MOST_NODES = 200_000
 
@@ -18,9 +20,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """df with its lineage cut by reliable files; the folder is spark.checkpoint.dir, and a temporary one only if that is unset."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kinfold-"))
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or scratch.folder(spark))
     return df.checkpoint()
 
 
@@ -268,9 +268,3 @@ def compare_clusterings(reference: DataFrame, found: DataFrame) -> DataFrame:
     lone = f.join(meets.select("fid").distinct(), "fid", "left_anti").groupBy("fid").agg(F.array_sort(F.collect_set("author_id")).alias("ids"))
     rows = rows.unionByName(lone.select(F.lit(None).cast("long").alias("reference_id"), F.array("fid").alias("found_ids"), F.col("ids").alias("combined"), none.alias("only_reference"), F.col("ids").alias("only_found")))
     return rows.withColumn("agrees", (F.size("found_ids") == 1) & (F.size("only_reference") == 0) & (F.size("only_found") == 0))
-
-
-def first_appearance(rows: DataFrame, value: str, order: str) -> DataFrame:
-    """(value, id): dense ids from 0 in order of first appearance."""
-    firsts = rows.groupBy(value).agg(F.min(order).alias("_o"))
-    return firsts.select(value, (F.dense_rank().over(Window.orderBy("_o")) - 1).cast("long").alias("id"))

@@ -541,15 +541,33 @@ for _l in ("average", "avgpresent", "min"):
     _hac(_l)
 
 
-@query()
+_SIZES = "z AS (SELECT component AS c, count(*) AS n FROM cc GROUP BY ALL), big AS (SELECT c FROM z WHERE n > 3 AND c <> (SELECT c FROM z ORDER BY n DESC, c LIMIT 1) AND EXISTS (SELECT 1 FROM z WHERE n = 3))"
+
+
+@query(_RECURSIVE(T.REC, T.PAIRS, T.EDGES, _E, _CC, _SIZES) + "SELECT node, component FROM cc WHERE component IN (SELECT c FROM big)")
 def component_sample(spark, d):
     return graph.sample_components(graph.min_weight(T.edges(spark, d), 0.9), 3)
 
 
-@query()
+def _cc(name: str, least: float) -> str:
+    return f"e_{name} AS (SELECT * FROM edges WHERE prob >= {least}), " + _CC.replace("both_", f"both_{name}").replace("reach", f"reach_{name}").replace("FROM e ", f"FROM e_{name} ").replace("FROM e)", f"FROM e_{name})").replace("cc AS", f"{name} AS")
+
+
+_MEET = "meets AS (SELECT DISTINCT r.component AS rid, f.component AS fid FROM r JOIN f USING (node)), com AS (SELECT rid, list(DISTINCT fid ORDER BY fid) AS fids, list(DISTINCT node ORDER BY node) AS ids FROM meets JOIN f ON fid = component GROUP BY ALL), mine AS (SELECT component AS rid, list(node ORDER BY node) AS ids FROM r GROUP BY ALL), lone AS (SELECT component AS fid, list(node ORDER BY node) AS ids FROM f WHERE component NOT IN (SELECT fid FROM meets) GROUP BY ALL)"
+_TEXT = "array_to_string(list_sort(list_filter({0}, lambda x: NOT list_contains({1}, x))), ' ')"
+
+
+@query(
+    _RECURSIVE(T.REC, T.PAIRS, T.EDGES, _cc("r", 0.95), _cc("f", 0.85), _MEET)
+    + f"SELECT rid AS reference_id, array_to_string(fids, ' ') AS found_ids, array_to_string(com.ids, ' ') AS combined, {_TEXT.format('mine.ids', 'com.ids')} AS only_reference, {_TEXT.format('com.ids', 'mine.ids')} AS only_found, len(fids) = 1 AND com.ids = mine.ids AS agrees FROM mine JOIN com USING (rid)"
+    + " UNION ALL SELECT NULL, CAST(fid AS VARCHAR), array_to_string(ids, ' '), '', array_to_string(ids, ' '), false FROM lone"
+)
 def compare_clusterings(spark, d):
+    """Clusters of a high threshold held against those of a lower one, lists as text."""
     e = T.edges(spark, d)
-    return graph.compare_clusterings(graph.constrained_clusters(e, least=0.95), graph.constrained_clusters(e, least=0.85))
+    c = graph.compare_clusterings(graph.constrained_clusters(e, least=0.95), graph.constrained_clusters(e, least=0.85))
+    text = lambda n: F.array_join(F.transform(n, lambda x: x.cast("string")), " ").alias(n)
+    return c.select("reference_id", *[text(n) for n in ("found_ids", "combined", "only_reference", "only_found")], "agrees")
 
 
 @query(_RECURSIVE(T.REC, T.PAIRS, T.EDGES, _E, _CC) + "SELECT p.component AS cluster_id, a, b FROM (SELECT a, b FROM edges WHERE prob < 0.5) JOIN cc p ON p.node = a JOIN cc q ON q.node = b AND q.component = p.component")
@@ -598,13 +616,16 @@ def worst_cases(spark, d):
 @query()
 def pair_features(spark, d):
     """All 57 features of candidate pairs of suppliers of one nation."""
+    from .wide import text_vectors
+
     authors = T.table(spark, d, "supplier").join(T.table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("Id"), F.col("s_name").alias("Name"), F.col("n_name").alias("Affiliation"))
     pa, paper, awp = T.paper_author(spark, d), T.paper(spark, d), T.with_papers(spark, d)
     rows = graph.checkpointed(features.records(authors))
-    av = graph.checkpointed(relations.all_relations(pa, paper, awp, relations.repeated_pairs(pa)))
+    dup = relations.repeated_pairs(pa)
+    av = graph.checkpointed(relations.all_relations(pa, paper, awp, dup))
     as_text = lambda c: rows.where(F.col(c) != "").select(F.col("id"), F.col(c).alias("text"))
     vec = lambda v: v.withColumnRenamed("id", "author_id")
-    return features.pair_features(T.supplier_pairs(spark, d), rows, av, awp, vec(tfidf.tfidf(as_text("affiliation"))), vec(tfidf.name_vectors(as_text("fullname"))))
+    return features.pair_features(T.supplier_pairs(spark, d), rows, av, awp, vec(tfidf.tfidf(as_text("affiliation"), tfidf.stop_words())), vec(tfidf.name_vectors(as_text("fullname"))), text_vectors(spark, d, pa, paper, awp, dup, av))
 
 
 @query(_RECURSIVE(T.REC, T.PAIRS, "av AS (SELECT l_partkey AS author_id, l_suppkey AS value, count(*) AS cnt FROM lineitem GROUP BY ALL), tot AS (SELECT author_id, count(*) AS k FROM av GROUP BY ALL), s AS (SELECT a, b, count(*) AS n, min(least(p.k, q.k)) AS k FROM pairs JOIN av x ON x.author_id = a JOIN av y ON y.author_id = b AND x.value = y.value JOIN tot p ON p.author_id = a JOIN tot q ON q.author_id = b GROUP BY ALL), e AS (SELECT a, b FROM s WHERE n / k >= 0.1)", _CC)

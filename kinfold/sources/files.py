@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import StructType
 
 from . import schemas
 
@@ -106,26 +106,40 @@ def read_features(spark: SparkSession, path: str) -> DataFrame:
         return spark.read.parquet(path)
     raw = spark.read.option("header", True).option("sep", "\t").csv(path)
     key = F.split("authors", ",")
-    return raw.select(key[0].cast("long").alias("a"), key[1].cast("long").alias("b"), *[number(F.col(c)).alias(c) for c in raw.columns if c != "authors"])
+    return raw.select(key[0].cast("long").alias("a"), key[1].cast("long").alias("b"), *[number(F.coalesce(c, F.lit(""))).alias(c) for c in raw.columns if c != "authors"])
 
 
 def write_features(features: DataFrame, path: str, tsv: bool = False) -> None:
+    """Parquet, or text whose numbers keep six significant digits; null is a blank cell."""
     if not tsv:
         features.write.mode("overwrite").parquet(path)
         return
-    values = [F.col(c).cast("string").alias(c) for c in features.columns if c not in ("a", "b")]
+    from ..functions.text import six_digits
+
+    values = [six_digits(F.col(c).cast("double")).cast("string").alias(c) for c in features.columns if c not in ("a", "b")]
     features.select(F.concat_ws(",", "a", "b").alias("authors"), *values).write.mode("overwrite").option("header", True).option("sep", "\t").csv(path)
 
 
-def write_edges(edges: DataFrame, path: str, gzip: bool = False) -> None:
-    """Sorted (a, b[, prob]) rows without header."""
+def write_csv(rows: DataFrame, path: str) -> None:
+    """Rows with a header, quotes doubled; for records with name parts and keys too."""
+    rows.write.mode("overwrite").options(header=True, quote='"', escape='"', emptyValue="").csv(path)
+
+
+def write_edges(edges: DataFrame, path: str, gzip: bool = False, digits: bool = False) -> None:
+    """Sorted (a, b[, prob]) rows without header; digits: prob keeps six significant ones."""
+    from ..functions.text import six_digits
+
     options = {"compression": "gzip"} if gzip else {}
+    if digits:
+        edges = edges.withColumn("prob", six_digits(F.col("prob")))
     edges.orderBy("a", "b").write.mode("overwrite").options(**options).csv(path)
 
 
 def write_ranked(scores: DataFrame, path: str) -> None:
-    """(a, b, prob), most likely first."""
-    scores.orderBy(F.desc("prob"), "a", "b").write.mode("overwrite").csv(path)
+    """(a, b, prob), most likely first, with six significant digits."""
+    from ..functions.text import six_digits
+
+    scores.withColumn("prob", six_digits(F.col("prob"))).orderBy(F.desc("prob"), "a", "b").write.mode("overwrite").csv(path)
 
 
 def bin_lines(keys: DataFrame) -> DataFrame:
@@ -161,13 +175,22 @@ def save_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> None:
     df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(name)
 
 
-def index_column(df: DataFrame, column: str, first_seen: str) -> DataFrame:
-    """df with `column` replaced by dense ids from 0, in order of the smallest first_seen (a row number) of each value."""
+def numbered(rows: DataFrame, name: str, *order: Column | str) -> DataFrame:
+    """rows with their place in that order, from 1, as column `name`. Partitions are sorted by range and numbered one by one; only
+    how many rows each has meets in one place."""
     from pyspark.sql import Window
 
-    firsts = df.groupBy(F.col(column).alias("_v")).agg(F.min(first_seen).alias("_first"))
-    ids = firsts.select("_v", (F.row_number().over(Window.orderBy("_first")) - 1).cast("long").alias("_id"))
-    return df.join(ids, F.col(column).eqNullSafe(F.col("_v"))).withColumn(column, F.col("_id")).drop("_v", "_id")
+    from ..operators.graph import checkpointed
 
+    out = checkpointed(rows.orderBy(*order).withColumn("_part", F.spark_partition_id()))
+    sizes = out.groupBy(F.col("_part").alias("_p")).agg(F.count("*").alias("_n"))
+    before = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return out.withColumn("_row", place).join(F.broadcast(before), F.col("_part") == F.col("_p")).select(*rows.columns, (F.col("_before") + F.col("_row")).cast("long").alias(name))
 
-EDGE_OUT = StructType([StructField("a", LongType()), StructField("b", LongType())])
+
+def index_column(df: DataFrame, column: str, first_seen: str) -> DataFrame:
+    """df with `column` replaced by dense ids from 0, in order of the smallest first_seen (a row number) of each value."""
+    firsts = df.groupBy(F.col(column).alias("_v")).agg(F.min(first_seen).alias("_first"))
+    ids = numbered(firsts, "_id", "_first").select("_v", (F.col("_id") - 1).alias("_id"))
+    return df.join(ids, F.col(column).eqNullSafe(F.col("_v"))).withColumn(column, F.col("_id")).drop("_v", "_id")
