@@ -1,7 +1,8 @@
 """Token ids: encoding with a public tokenizer, Simple-8b files, and reading them back.
 
 A file: the magic bytes KFS8, then seven little-endian uint64 (version, documents, ids, ids a block, blocks, words,
-end id), the documents' id counts and doc_ids, the first word of each block, and the words. A block holds the same number
+end id), the documents' id counts and doc_ids, the first word of each block, the words, and a bit for each document whose doc_id is
+null. A block holds the same number
 of ids in every file (the last one may be shorter) and starts on a word of its own, so that blocks decode by themselves
 and all at once.
 
@@ -11,24 +12,23 @@ Selector 15 is an escape: the next word holds one value of up to 64 bits.
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from . import shared
-from .tokens import column
+from .tokens import _TABLE, SECOND, column, slices, span_hashes
 
-MAGIC, VERSION, BLOCK = b"KFS8", 1, 512
+MAGIC, VERSION, BLOCK = b"KFS8", 2, 512
 #: Selector k holds COUNTS[k] values of 60 // COUNTS[k] bits; fixed values of the coding.
 COUNTS = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 BITS = tuple(60 // c for c in COUNTS)
 ESCAPE = 15
-#: A space before other white space or at the end isn't where a byte-level tokenizer cuts.
-_ODD = re.compile(r" (?=\s|$)|[\x1c-\x1f]")
 _U = np.uint64
 
 
@@ -133,14 +133,42 @@ def decode(words: np.ndarray, blocks: np.ndarray, n: int, block: int = BLOCK) ->
     return out
 
 
-def pack_file(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray, end_id: int, block: int = BLOCK) -> bytes:
-    words, blocks = encode(ids, block)
-    head = MAGIC + struct.pack("<7Q", VERSION, len(counts), len(ids), block, len(blocks), len(words), end_id)
-    return b"".join((head, counts.astype("<u8").tobytes(), doc_ids.astype("<i8").tobytes(), blocks.astype("<u8").tobytes(), words.astype("<u8").tobytes()))
-
-
-def unpack_file(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """doc_ids, id counts and ids of a file."""
+class File:
+    """A file in the making: ids are packed as they come, so that what is held is compressed."""
+
+    def __init__(self, end_id: int, block: int = BLOCK):
+        self.end_id, self.block = end_id, block
+        self.words: list[np.ndarray] = []
+        self.firsts: list[np.ndarray] = []
+        self.docs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.rest = np.empty(0, np.uint32)
+        self.size = self.ids = 0
+
+    def add(self, doc_ids: np.ndarray, null: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
+        self.docs.append((doc_ids, null, counts))
+        self.ids += len(ids)
+        ids = np.concatenate((self.rest, ids))
+        whole = len(ids) // self.block * self.block
+        self.pack(ids[:whole])
+        self.rest = ids[whole:]
+
+    def pack(self, ids: np.ndarray) -> None:
+        words, firsts = encode(ids, self.block)
+        self.words.append(words)
+        self.firsts.append(firsts + _U(self.size))
+        self.size += len(words)
+
+    def bytes(self) -> bytes:
+        self.pack(self.rest)
+        doc_ids, null, counts = (np.concatenate(x) for x in zip(*self.docs))
+        blocks = np.concatenate(self.firsts)
+        head = MAGIC + struct.pack("<7Q", VERSION, len(counts), self.ids, self.block, len(blocks), self.size, self.end_id)
+        parts = (counts.astype("<u8"), doc_ids.astype("<i8"), blocks.astype("<u8"), *(w.astype("<u8", copy=False) for w in self.words), np.packbits(null))
+        return b"".join((head, *(x.tobytes() for x in parts)))
+
+
+def unpack_file(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """doc_ids, which of them are null, id counts and ids of a file."""
     if data[:4] != MAGIC:
         raise ValueError("not a token file")
     version, docs, n, block, blocks, words, _ = struct.unpack_from("<7Q", data, 4)
@@ -152,27 +180,35 @@ def unpack_file(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         parts.append(np.frombuffer(data, kind, count, at))
         at += 8 * count
     counts, doc_ids, first, w = parts
-    return doc_ids, counts.astype(np.int64), decode(w.astype(_U), first, n, block)
+    null = np.unpackbits(np.frombuffer(data, np.uint8, -1, at), count=docs).astype(bool)
+    return doc_ids, null, counts.astype(np.int64), decode(w.astype(_U, copy=False), first, n, block)
 
 
 class Encoder:
     """Ids of whole texts, as encode(text, add_special_tokens=False) of the tokenizers library gives them.
 
-    A byte-level tokenizer cuts before a space that a non-space follows, so the parts between such spaces are encoded by
-    themselves, each different part once: many parts in one call, told apart by the tokens that begin with a space. Texts where
-    that doesn't hold (runs of spaces, a special token's name) are encoded whole.
+    A byte-level tokenizer with the usual pattern always cuts at some places, whatever stands around them: before a space that
+    something visible follows, between an ASCII letter and ASCII punctuation, and after a line's end between something visible
+    and a letter. Texts are cut there, and each different part is encoded once while it is remembered; the parts of a batch are
+    told apart by Arrow's dictionary, the remembered ones by two 64-bit hashes. Texts with a special token's name, and all texts of
+    other kinds of tokenizers, are one part each.
     """
 
-    CACHE = 600_000
+    #: Parts and ids that are remembered; beyond that all are forgotten.
+    CACHE, IDS = 600_000, 4_000_000
 
     def __init__(self, path: str):
+        import json
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        self.model = self.tok.model
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        cutter = json.loads(self.tok.pre_tokenizer.__getstate__()) if self.tok.pre_tokenizer else {}
+        self.cuttable = self.tok.normalizer is None and cutter.get("type") == "ByteLevel" and cutter.get("use_regex") is True and not cutter.get("add_prefix_space")
         vocab = self.tok.get_vocab(with_added_tokens=True)
         self.opens = np.zeros(max(vocab.values()) + 1, bool)
         for token, i in vocab.items():
@@ -180,66 +216,135 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        """known: a part's number; its ids are flat[edge[number] : edge[number + 1]]."""
-        self.known: dict[str, int] = {}
-        self.flat, self.edge, self.used = np.empty(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), 0
-
-    def plain(self, text: str) -> bool:
-        """Whether the text can be cut at its spaces."""
-        return "  " not in text and not any(s in text for s in self.special) and not _ODD.search(text)
-
-    def keep(self, parts: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
-        n, m = len(self.known), len(ids)
-        if self.used + m > len(self.flat):
-            self.flat = np.resize(self.flat, 2 * (self.used + m))
-        if n + len(parts) + 1 > len(self.edge):
-            self.edge = np.resize(self.edge, 2 * (n + len(parts) + 1))
-        self.flat[self.used : self.used + m] = ids
-        self.edge[n + 1 : n + len(parts) + 1] = self.used + np.cumsum(sizes)
-        self.used += m
-        self.known.update(zip(parts, range(n, n + len(parts))))
-
-    def parts(self, new: list[str]) -> None:
-        """Encodes parts that aren't known yet; each stands for itself with one space before it."""
-        for i in range(0, len(new), 4000):
-            some = new[i : i + 4000]
-            ids = np.array(self.tok.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+        """Of the known parts, sorted by the first hash: both hashes, and where in flat their ids are."""
+        self.first, self.second = np.empty(0, _U), np.empty(0, _U)
+        self.begin, self.size = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.flat, self.used = np.empty(1 << 16, np.uint32), 0
+
+    def borders(self, texts: pa.Array, buf: np.ndarray, base: np.ndarray) -> np.ndarray:
+        """Where parts begin, and the end of the last."""
+        n = len(buf)
+        starts = np.zeros(n + 1, bool)
+        if self.cuttable and n:
+            kind = _KIND[buf]
+            after = np.empty(n, np.uint8)
+            after[:-1], after[-1:] = kind[1:], 0
+            after[base[1:][base[1:] > 0] - 1] = 0  # nothing follows the last character of a text
+            starts[:n] = (buf == 0x20) & (after & _SOLID != 0)
+            starts[1:n] |= (kind[:-1] & _LETTER != 0) & (kind[1:] & _SIGN != 0)
+            starts[2:n] |= (kind[:-2] & (_LETTER | _SIGN | _DIGIT) != 0) & (buf[1:-1] == 0x0A) & (kind[2:] & _LETTER != 0)
+            for name in self.special:
+                for k in np.flatnonzero(pc.match_substring(texts, name).to_numpy(zero_copy_only=False)):
+                    starts[base[k] : base[k + 1]] = False
+        starts[base] = True
+        return np.flatnonzero(starts)
+
+    def encode_parts(self, parts: list[bytes], plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all parts, one after the other, and how many each has. plain: a word of letters, perhaps after a space."""
+        out: list[list[int]] = [[]] * len(parts)
+        where = np.flatnonzero(plain).tolist()
+        if where:  # such a part isn't cut further: the model's merges are all there is to do
+            spelled = _SPELL[np.frombuffer(b"\n".join([parts[k] for k in where]), np.uint8)].tobytes().decode("utf-32-le").split("\n")
+            tokenize = self.model.tokenize
+            for k, x in zip(where, spelled):
+                out[k] = [t.id for t in tokenize(x)]
+        rest = np.flatnonzero(~plain).tolist()
+        spaced = [k for k in rest if parts[k][:1] == b" " and not any(s.encode() in parts[k] for s in self.special)] if self.cuttable else []
+        for i in range(0, len(spaced), 4000):  # many in one call, told apart by the tokens that begin with a space
+            some = spaced[i : i + 4000]
+            ids = np.array(self.tok.encode_batch_fast([b"".join([parts[k] for k in some]).decode()], add_special_tokens=False)[0].ids, np.int64)
             at = np.flatnonzero(self.opens[ids])
-            if len(at) != len(some) or at[0]:  # a part has an inner token that begins with a space
-                each = [self.tok.encode(" " + p, add_special_tokens=False).ids for p in some]
-                ids, sizes = np.array([x for e in each for x in e], np.uint32), np.array([len(e) for e in each])
-            else:
-                sizes = np.diff(at, append=len(ids))
-            self.keep(some, ids, sizes)
-
-    def batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, and how many each text has."""
-        import pandas as pd
-
-        if len(self.known) > self.CACHE:
-            self.clear()
-        cuttable = [self.plain(t) for t in texts]
-        plain = [i for i, c in enumerate(cuttable) if c]
-        whole = [i for i, c in enumerate(cuttable) if not c]
-        cut = [texts[i].split(" ") for i in plain]
-        first = [c[0] for c in cut]
-        lengths = np.array([len(c) - 1 for c in cut], np.int64)
-        codes, unique = pd.factorize(np.array([p for c in cut for p in c[1:]], dtype=object))
-        known = self.known
-        self.parts([p for p in unique if p not in known])
-        number = np.fromiter(map(known.__getitem__, unique), np.int64, len(unique))
-        begin, size = self.edge[number], self.edge[number + 1] - self.edge[number]
-        took = size[codes]
-        ends = np.cumsum(took)
-        body = self.flat[np.repeat(begin[codes] - (ends - took), took) + np.arange(int(took.sum()))]
-        edges = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(lengths)))]
-        rest = [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast([texts[i] for i in whole] + first, add_special_tokens=False)]
-        out: list[np.ndarray] = [None] * len(texts)
-        for k, i in enumerate(plain):
-            out[i] = np.concatenate((rest[len(whole) + k], body[edges[k] : edges[k + 1]]))
-        for k, i in enumerate(whole):
-            out[i] = rest[k]
-        return (np.concatenate(out) if out else np.empty(0, np.uint32)), np.array([len(x) for x in out], np.int64)
+            if len(at) == len(some) and not at[0]:
+                for k, x in zip(some, np.split(ids, at[1:])):
+                    out[k] = x.tolist()
+        each = [k for k in rest if not out[k]]
+        for k, e in zip(each, self.tok.encode_batch_fast([parts[k].decode() for k in each], add_special_tokens=False)):
+            out[k] = e.ids
+        sizes = np.fromiter(map(len, out), np.int64, len(out))
+        return np.fromiter(chain.from_iterable(out), np.uint32, int(sizes.sum())), sizes
+
+    def learn(self, data: np.ndarray, edges: np.ndarray, new: np.ndarray, first: np.ndarray, second: np.ndarray) -> None:
+        """Encodes the parts `new` of data (cut at edges) and remembers them."""
+        odd = np.concatenate(([0], np.cumsum(~_PLAIN[data] | _cross(data))))
+        lo, hi = edges[:-1][new], edges[1:][new]
+        begin = lo + (data[np.minimum(lo, max(0, len(data) - 1))] == 0x20)
+        plain = (odd[hi] == odd[begin]) & (hi > begin) & self.cuttable
+        raw = data.tobytes()
+        ids, sizes = self.encode_parts([raw[a:b] for a, b in zip(lo.tolist(), hi.tolist())], plain)
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate((self.flat[: self.used], np.empty(self.used + 2 * len(ids), np.uint32)))
+        self.flat[self.used : self.used + len(ids)] = ids
+        all_ = np.concatenate((self.first, first[new]))
+        order = np.argsort(all_, kind="stable")
+        self.first = all_[order]
+        self.second = np.concatenate((self.second, second[new]))[order]
+        self.begin = np.concatenate((self.begin, self.used + np.cumsum(sizes) - sizes))[order]
+        self.size = np.concatenate((self.size, sizes))[order]
+        self.used += len(ids)
+
+    def places(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Where the parts of these hashes are among the known ones, or -1."""
+        if not len(self.first):
+            return np.full(len(first), -1, np.int64)
+        at = np.searchsorted(self.first, first)
+        at[at == len(self.first)] = 0
+        known = self.first[at] == first
+        for k in np.flatnonzero(known & (self.second[at] != second)):  # parts with the same first hash stand side by side
+            same = np.arange(at[k], np.searchsorted(self.first, first[k], "right"))
+            match = same[self.second[same] == second[k]]
+            known[k] = len(match) > 0
+            at[k] = match[0] if len(match) else 0
+        return np.where(known, at, -1)
+
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and how many each text has; texts: large_string without nulls."""
+        counts, all_ids = [], []
+        for i, j, buf, base in slices(texts, 4_000_000):
+            if len(self.first) > self.CACHE or self.used > self.IDS:
+                self.clear()
+            edges = self.borders(texts.slice(i, j - i), buf, base)
+            ids = np.empty(0, np.uint32)
+            ends = np.zeros(1, np.int64)
+            if len(edges) > 1:
+                parts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(buf)]).dictionary_encode()
+                codes, kinds = parts.indices.to_numpy(), parts.dictionary
+                off = np.frombuffer(kinds.buffers()[1], np.int64, len(kinds) + 1)
+                data = np.frombuffer(kinds.buffers()[2], np.uint8)[: off[-1]]
+                first, second = (span_hashes(data, off[:-1], off[1:], t) for t in (_TABLE[False], SECOND))
+                at = self.places(first, second)
+                if (at < 0).any():
+                    self.learn(data, off, np.flatnonzero(at < 0), first, second)
+                    at = self.places(first, second)
+                begin, took = self.begin[at][codes], self.size[at][codes]
+                ends = np.concatenate((ends, np.cumsum(took)))
+                ids = self.flat[np.repeat(begin - ends[:-1], took) + np.arange(int(ends[-1]))]
+            counts.append(np.diff(ends[np.searchsorted(edges, base)]))
+            all_ids.append(ids)
+        return (np.concatenate(all_ids) if all_ids else np.empty(0, np.uint32)), (np.concatenate(counts) if counts else np.empty(0, np.int64))
+
+
+def _cross(data: np.ndarray) -> np.ndarray:
+    """The signs for times and division, which share their first byte with letters."""
+    out = np.zeros(len(data), bool)
+    out[1:] = (data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7))
+    return out
+
+
+# Classes of bytes: ASCII letters, digits and other visible signs, and what surely begins something visible. Lead bytes of characters
+# that may be white space aren't among the last.
+_LETTER, _DIGIT, _SIGN, _SOLID = 1, 2, 4, 8
+_KIND = np.zeros(256, np.uint8)
+for _b in range(0x21, 0x7F):
+    _KIND[_b] = _SOLID | (_LETTER if chr(_b).isalpha() else _DIGIT if chr(_b).isdigit() else _SIGN)
+for _b in range(0xC3, 0xF5):
+    _KIND[_b] = 0 if _b in (0xE1, 0xE2, 0xE3) else _SOLID
+#: Bytes of ASCII and Latin-1 letters.
+_PLAIN = np.array([chr(b).isalpha() and b < 128 or b == 0xC3 or 0x80 <= b < 0xC0 for b in range(256)])
+#: How a byte-level vocabulary spells the bytes that aren't visible (fixed values of the coding); a line's end tells words apart here.
+_SHOWN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100), 0x0A}
+_SPELL = np.arange(256, dtype="<u4")
+for _k, _b in enumerate(b for b in range(256) if b not in _SHOWN - {0x0A}):
+    _SPELL[_b] = 0x0A if _b == 0x0A else 256 + _k
 
 
 _encoders: dict[str, Encoder] = {}
@@ -254,49 +359,57 @@ def encoder(path: str) -> Encoder:
 def write(docs, folder: str, tokenizer: str, end_id: int = 2, file_ids: int = 4_000_000, id_column: str = "doc_id", text_column: str = "text"):
     """Writes documents in ascending order of id as files of about file_ids ids; returns the manifest, a list of dicts in order.
 
-    Null texts are empty (the end id only), null ids come first, rows with equal ids stand in order of their text, and repeated
-    rows stay. An empty table gives no file. Each task writes the files of one range of ids under temporary names and renames them;
-    files of a task that was retried are in no manifest.
+    Null texts are empty (the end id only), null ids come first, rows with equal ids stand in order of a hash of their text, and
+    repeated rows stay. Texts of any length are encoded whole. An empty table gives no file. Each task writes the files of one range
+    of ids, named by range and number, under temporary names and renames them; the same rows give the same files. Of the table no
+    other column is read.
     """
     from pyspark.sql import functions as F
 
+    from .ranges import by_range, place
+
     spark = docs.sparkSession
     shared.make_dir(folder)
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
+    key, tie = place(F.col("doc_id"), F.col("text"))
+    ordered = by_range(rows.select("doc_id", "text", key.alias("_id"), tie.alias("_tie")), F.octet_length("text") + 8)
+    ordered = ordered.sortWithinPartitions("_shard", F.col("doc_id").asc_nulls_first(), "_tie", "text").select("_shard", "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import uuid
-
         enc = encoder(tokenizer)
-        task = uuid.uuid4().hex
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        files: list[tuple] = []
+        now, part, held, files = None, 0, None, []
 
         def flush() -> None:
-            ids, counts, doc_ids = (np.concatenate(x) for x in zip(*held))
-            held.clear()
-            data = pack_file(doc_ids, counts, ids, end_id)
-            name = f"{task}-{len(files):05d}.kfs8"
+            nonlocal held, part
+            if held is None:
+                return
+            data = held.bytes()
+            name = f"{now:06d}-{part:05d}.kfs8"
             shared.write_file(folder, name, data)
-            files.append((name, len(files), int(doc_ids[0]), len(counts), len(ids), len(data), zlib.crc32(data)))
+            files.append({"file": name, "docs": sum(len(d[0]) for d in held.docs), "ids": held.ids, "bytes": len(data), "crc": zlib.crc32(data)})
+            held, part = None, part + 1
 
         for b in batches:
-            texts, keys = column(b, "text"), b.column("doc_id").fill_null(NULL_ID).to_numpy(zero_copy_only=False)
-            for lo, hi in _runs(texts, 4_000_000):
-                ids, counts = enc.batch(texts.slice(lo, hi - lo).to_pylist())
-                ends = np.cumsum(counts)
-                ids = np.insert(ids, ends, end_id)
-                held.append((ids, counts + 1, keys[lo:hi].astype(np.int64)))
-                if sum(len(x[0]) for x in held) >= file_ids:
+            shards = b.column("_shard").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(shards)) + 1).tolist(), len(shards)] if len(shards) else []
+            for i, j in zip(cuts, cuts[1:]):
+                if shards[i] != now:
                     flush()
-        if held:
-            flush()
-        yield pa.RecordBatch.from_pylist([dict(zip(MANIFEST.names, f)) for f in files], schema=MANIFEST)
-
-    found = [r.asDict() for r in ordered.mapInArrow(run, "file string, part int, first long, docs long, ids long, bytes long, crc long").collect()]
-    found.sort(key=lambda r: (r["first"], r["file"].split("-")[0], r["part"]))
+                    now, part = int(shards[i]), 0
+                own = b.slice(i, j - i)
+                texts, keys = column(own, "text"), own.column("doc_id")
+                null = keys.is_null().to_numpy(zero_copy_only=False)
+                keys = keys.fill_null(0).to_numpy()
+                for lo, hi, _, _ in slices(texts, 4_000_000):
+                    ids, counts = enc.batch(texts.slice(lo, hi - lo))
+                    held = held or File(end_id)
+                    held.add(keys[lo:hi], null[lo:hi], counts + 1, np.insert(ids, np.cumsum(counts), end_id))
+                    if held.ids >= file_ids:
+                        flush()
+        flush()
+        yield pa.RecordBatch.from_pylist(files, schema=MANIFEST)
+
+    found = sorted((r.asDict() for r in ordered.mapInArrow(run, "file string, docs long, ids long, bytes long, crc long").collect()), key=lambda r: r["file"])
     start = 0
     for r in found:
         r["start"] = start
@@ -307,33 +420,28 @@ def write(docs, folder: str, tokenizer: str, end_id: int = 2, file_ids: int = 4_
     return found
 
 
-NULL_ID = -(1 << 63)
-MANIFEST = pa.schema([("file", pa.string()), ("part", pa.int32()), ("first", pa.int64()), ("docs", pa.int64()), ("ids", pa.int64()), ("bytes", pa.int64()), ("crc", pa.int64())])
-
-
-def _runs(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
-    from .tokens import slices
-
-    for i, j, _, _ in slices(texts, most):
-        yield i, j
+MANIFEST = pa.schema([("file", pa.string()), ("docs", pa.int64()), ("ids", pa.int64()), ("bytes", pa.int64()), ("crc", pa.int64())])
 
 
 def read(spark, folder: str, manifest: list[dict]):
     """Per document of the files: doc_id, start, n_tokens and ids_crc32; several files are decoded in a task at most."""
     from pyspark.sql import functions as F
 
-    listed = spark.createDataFrame([(r["file"], r["start"]) for r in manifest], "file string, start long")
+    listed = spark.createDataFrame([(r["file"], r["start"], r["crc"]) for r in manifest], "file string, start long, crc long")
     n = max(1, min(len(manifest), 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for name, start in zip(b.column("file").to_pylist(), b.column("start").to_pylist()):
-                doc_ids, counts, ids = unpack_file(shared.read_file(f"{folder}/{name}"))
+            for name, start, sum_ in zip(*(b.column(k).to_pylist() for k in ("file", "start", "crc"))):
+                data = shared.read_file(f"{folder}/{name}")
+                if zlib.crc32(data) != sum_:
+                    raise ValueError(f"{name} isn't as it was written")
+                doc_ids, null, counts, ids = unpack_file(data)
                 raw, ends = ids.astype("<u4").tobytes(), np.cumsum(counts)
                 crc = [zlib.crc32(raw[4 * (e - c) : 4 * e]) for e, c in zip(ends.tolist(), counts.tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(doc_ids, pa.int64(), mask=doc_ids == NULL_ID),
+                        pa.array(doc_ids, pa.int64(), mask=null),
                         pa.array(start + ends - counts, pa.int64()),
                         pa.array(counts, pa.int64()),
                         pa.array(crc, pa.int64()),
@@ -345,7 +453,10 @@ def read(spark, folder: str, manifest: list[dict]):
 
 
 def write_and_read(docs, tokenizer: str, end_id: int = 2):
-    """The documents' digests from files that are written to the shared folder first."""
+    """The documents' digests (doc_id, start, n_tokens, ids_crc32) from files that are written to the shared folder first.
+
+    A row for each row of docs, also for repeated ones and for null ids and texts; none for an empty table.
+    """
     spark = docs.sparkSession
     folder = shared.shared_dir(spark)
     return read(spark, folder, write(docs, folder, tokenizer, end_id))
