@@ -20,10 +20,17 @@ def common(pairs: DataFrame, av: DataFrame) -> DataFrame:
     ids = pairs.select(F.col("a").alias("author_id")).union(pairs.select("b")).distinct()
     mine = av.join(ids, "author_id", "left_semi")
     total = mine.groupBy("author_id", *extra).agg(F.sum("cnt").alias("total"))
-    rows = mine.join(total, ["author_id", *extra])
-    x = rows.select(F.col("author_id").alias("a"), *extra, "value", F.col("cnt").alias("c1"), F.col("total").alias("t1"))
-    y = rows.select(F.col("author_id").alias("b"), *extra, "value", F.col("cnt").alias("c2"), F.col("total").alias("t2"))
-    both = pairs.select("a", "b").join(x, "a").join(y, ["b", *extra, "value"])
+    # values of one record alone are shared with none
+    known = mine.groupBy(*extra, "value").agg(F.min("author_id").alias("lo"), F.max("author_id").alias("hi")).where("lo <> hi").select(*extra, "value")
+    rows = mine.join(known, [*extra, "value"], "left_semi").join(total, ["author_id", *extra])
+    # the side with fewer values is expanded and looked up in the other
+    size = rows.groupBy("author_id").agg(F.count("*").alias("size"))
+    sized = pairs.select("a", "b").join(size.select(F.col("author_id").alias("a"), F.col("size").alias("ka")), "a").join(size.select(F.col("author_id").alias("b"), F.col("size").alias("kb")), "b")
+    fewer = F.col("ka") <= F.col("kb")
+    sides = sized.select("a", "b", F.when(fewer, F.col("a")).otherwise(F.col("b")).alias("_few"), F.when(fewer, F.col("b")).otherwise(F.col("a")).alias("_many"))
+    x = rows.select(F.col("author_id").alias("_few"), *extra, "value", F.col("cnt").alias("c1"), F.col("total").alias("t1"))
+    y = rows.select(F.col("author_id").alias("_many"), *extra, "value", F.col("cnt").alias("c2"), F.col("total").alias("t2"))
+    both = sides.join(x, "_few").join(y, ["_many", *extra, "value"])
     s1, s2 = F.col("c1") / F.col("t1"), F.col("c2") / F.col("t2")
     return both.groupBy("a", "b", *extra).agg(F.count("*").alias("n"), F.sum(F.least("c1", "c2")).alias("w"), F.sum(F.least(s1, s2)).alias("f_min"), F.sum(s1 + s2).alias("f_sum"))
 
