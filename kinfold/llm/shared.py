@@ -13,9 +13,11 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark) -> str:
-    """The URI of a new folder under spark.checkpoint.dir; where that is unset (single machine), under a local one."""
+    """The URI of a new folder under spark.checkpoint.dir; where that is unset, under a temporary one, if all runs on one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors see")
         base = _OWN.setdefault("dir", "") or tempfile.mkdtemp(prefix="kinfold-")
         _OWN["dir"] = base
         if not spark.sparkContext.getCheckpointDir():
