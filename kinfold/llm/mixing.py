@@ -124,7 +124,7 @@ def plan(rows: DataFrame, targets: dict[str, dict[str, float]] | None = None, po
     total = cells.agg(F.sum("n")).first()[0] or 0.0
     wanted = {d: tables.save(_targets(cells, d, (targets or {}).get(d), power), size) for d in DIMENSIONS}
     if not total:
-        return Plan(cells.select(*DIMENSIONS, "n", F.lit(0.0).alias("weight"), F.lit(0.0).alias("prob")), 1.0, dict.fromkeys(DIMENSIONS, 0.0), wanted)
+        return Plan(tables.save(cells.select(*DIMENSIONS, "n", F.lit(0.0).alias("weight"), F.lit(0.0).alias("prob"))), 1.0, dict.fromkeys(DIMENSIONS, 0.0), wanted)
     known = cells
     for d, want in wanted.items():
         known = known.join(want.select(F.col("v").alias("v"), F.col("t").alias(f"t_{d}")), F.col(d) == F.col("v"), "left").drop("v").fillna(0.0, [f"t_{d}"])
