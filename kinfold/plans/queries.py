@@ -298,7 +298,8 @@ def block_pairs_capped(spark, d):
     return blocking.pairs(blocking.keys(T.parts(spark, d), "fF3L"))
 
 
-_ALL = ("samename", "fullparsedname", "offbylastone", "2FoffbyoneL", "ngrams")
+#: The default methods but for the phonetic one, which SQL lacks.
+_ALL = tuple(m for m in blocking.DEFAULT if m != "metaphone")
 _UNION = " UNION ALL ".join(
     f"SELECT '{m}' AS method, bin_key, author_id FROM (SELECT DISTINCT bin_key, author_id, count(*) OVER (PARTITION BY bin_key) AS n FROM (SELECT DISTINCT bin_key, author_id FROM ({_KEYS[m][0]})))" + (f" WHERE n <= {_KEYS[m][1]}" if _KEYS[m][1] else "") for m in _ALL
 )
@@ -309,24 +310,14 @@ def all_block_pairs(spark, d):
     return blocking.pairs(blocking.all_keys(T.parts(spark, d), _ALL))
 
 
-@query("WITH m AS (SELECT p_brand AS c, p_partkey AS i FROM part WHERE p_size = 1) SELECT CAST(1 AS INTEGER) AS label, x.i AS a, y.i AS b FROM m x JOIN m y ON x.c = y.c AND x.i < y.i")
-def positive_pairs(spark, d):
-    return blocking.within_groups(T.table(spark, d, "part").where("p_size = 1").select(F.col("p_brand").alias("cluster_id"), F.col("p_partkey").alias("author_id")))
-
-
-@query("WITH m AS (SELECT p_type AS s, p_brand AS c, p_partkey AS i FROM part WHERE p_size = 1) SELECT CAST(0 AS INTEGER) AS label, x.i AS a, y.i AS b FROM m x JOIN m y ON x.s = y.s AND x.c <> y.c AND x.i < y.i")
-def negative_pairs(spark, d):
-    return blocking.across_groups(T.table(spark, d, "part").where("p_size = 1").select(F.col("p_type").alias("set_id"), F.col("p_brand").alias("cluster_id"), F.col("p_partkey").alias("author_id")))
-
-
 @query("SELECT CAST(1 AS INTEGER) AS label, x.p_partkey AS a, y.p_partkey AS b FROM part x JOIN part y ON x.p_brand = y.p_brand AND x.p_type = y.p_type AND x.p_size = y.p_size AND x.p_partkey < y.p_partkey")
-def positive_pairs_all(spark, d):
+def positive_pairs(spark, d):
     """Over all parts: a cluster is a brand, type and size."""
     return blocking.within_groups(T.table(spark, d, "part").select(F.concat("p_brand", F.lit(";"), "p_type", F.lit(";"), F.col("p_size").cast("string")).alias("cluster_id"), F.col("p_partkey").alias("author_id")))
 
 
 @query("SELECT CAST(0 AS INTEGER) AS label, x.p_partkey AS a, y.p_partkey AS b FROM part x JOIN part y ON x.p_type = y.p_type AND x.p_size = y.p_size AND x.p_brand <> y.p_brand AND x.p_partkey < y.p_partkey")
-def negative_pairs_all(spark, d):
+def negative_pairs(spark, d):
     """Over all parts: a set is a type and size, a cluster a brand of it."""
     return blocking.across_groups(T.table(spark, d, "part").select(F.concat("p_type", F.lit(";"), F.col("p_size").cast("string")).alias("set_id"), F.col("p_brand").alias("cluster_id"), F.col("p_partkey").alias("author_id")))
 
