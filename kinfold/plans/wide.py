@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..operators import features, graph, relations, tfidf
+from ..operators import features, relations, tfidf
 from ..sources import files
 from . import tables as T
 from .queries import query, six, with_
@@ -96,7 +96,7 @@ _PAPER_SQL = with_(*_CTES) + "SELECT a, b, CAST(CAST(a IN (SELECT Id FROM awp) A
 ) + " FROM spairs"
 
 
-def text_vectors(spark, d, pa, paper, awp, dup, av):
+def text_vectors(spark, d, pa, paper, awp, dup):
     """Vectors of authors for features.TEXTS: of the publications that their papers are in, of their papers' titles and keywords, and of
     those of papers that they are listed on more than once."""
     mine = relations.only_authors(pa, awp)
@@ -105,7 +105,7 @@ def text_vectors(spark, d, pa, paper, awp, dup, av):
     pubs = tfidf.tfidf(customers, ngrams=(1, 1), key=["kind", "pub_id"])
     titles = tfidf.tfidf(files.paper_titles(paper), ngrams=(1, 1)).withColumnRenamed("id", "paper_id")
     return {
-        "pubTextSim": tfidf.summed_vectors(files.publications_by_author(av), pubs, ["kind", "pub_id"]),
+        "pubTextSim": tfidf.summed_vectors(files.publications_by_author(relations.conferences(mine, paper, "conferences")), pubs, ["kind", "pub_id"]),
         "paperTitleSim": tfidf.summed_vectors(files.paper_ids_by_author(mine), titles, ["paper_id"]),
         "paperTitleSim_dup": tfidf.summed_vectors(files.paper_ids_by_author(again), titles, ["paper_id"]),
     }
@@ -116,9 +116,9 @@ def paper_feature_values(spark, d):
     """Every paper feature of all pairs of suppliers of one nation."""
     pa, paper, awp = T.paper_author(spark, d), T.paper(spark, d), T.with_papers(spark, d)
     dup = relations.repeated_pairs(pa)
-    av = graph.checkpointed(relations.all_relations(pa, paper, awp, dup))
+    av = relations.all_relations(pa, paper, awp, dup)
     rows = T.table(spark, d, "supplier").join(T.table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("id"), F.lower("s_name").alias("fullname"), F.lower("n_name").alias("affiliation"))
-    f = features.paper_features(T.supplier_pairs(spark, d), rows, av, awp, text_vectors(spark, d, pa, paper, awp, dup, av))
+    f = features.block_paper_features(T.supplier_blocks(spark, d), rows, av, awp, text_vectors(spark, d, pa, paper, awp, dup))
     return f.select("a", "b", "has_papers", *[F.round(F.col(c).cast("double"), 5).alias(c) for c in f.columns[3:]])
 
 
@@ -154,11 +154,9 @@ def name_feature_values(spark, d):
     rows = T.parts(spark, d).join(p, F.col("id") == F.col("p_partkey")).withColumns(
         {"affiliation": F.when(F.col("id") % 3 == 0, "").otherwise(F.col("b")), "name_suffix": F.when(F.col("id") % 2 == 0, "jr").otherwise(""), "metaphone_fullname": F.lit("")}
     ).drop("p_partkey", "b")
-    rows = graph.checkpointed(tfidf.key_idf(tfidf.key_idf(rows, "iFfL", "iFfL_idf"), "name_last", "lastname_idf"))
-    vec = lambda v: v.withColumnRenamed("id", "author_id")
-    affil = tfidf.tfidf(rows.where("affiliation <> ''").select("id", F.col("affiliation").alias("text")))
-    names = tfidf.name_vectors(rows.select("id", F.col("fullname").alias("text")))
-    f = features.name_features(T.candidate_pairs(spark, d), rows, vec(affil), vec(names))
+    text = lambda c: rows.select(F.col(c).alias("text"))
+    whole = tfidf.key_idf(tfidf.key_idf(rows, "iFfL", "iFfL_idf"), "name_last", "lastname_idf")
+    f = features.block_name_features(whole, "iFfL", text("affiliation").where("text <> ''"), text("fullname"))
     return f.select(
         "a", "b", "has_affil", "suffix", six("lastidf", "lastidf"), six("iFfLidf", "iFfLidf"), F.round("fullname_sharedidf", 5).alias("fullname_sharedidf"),
         F.round(F.nanvl("affil_sharedidf", F.lit(-1.0)), 5).alias("affil_sharedidf"), *[six(f"jarow_{n}", f"jarow_{n}") for n in ("first", "mid", "last", "firstmid", "midlast")],
