@@ -118,7 +118,7 @@ def build(benchmark: DataFrame, folder: str, block_bytes: int = BLOCK_BYTES) ->
             shared.write_file(folder, f"{what}-{name}", a.tobytes())
         yield pa.RecordBatch.from_arrays([pa.array([name])], names=["block"])
 
-    blocks = items.repartition(int(max(1, -(-size // block_bytes)))).mapInArrow(write, "block string").collect()
+    blocks = items.repartition(int(max(1, -(-size // block_bytes)))).mapInArrow(shared.released(write), "block string").collect()
     return Index(folder, sorted(r["block"] for r in blocks), isinstance(kind, T.StringType))
 
 
@@ -195,7 +195,7 @@ def scan(docs: DataFrame, index: Index) -> DataFrame:
                     out[i + d] = [{"item_id": k, "words": n} for k, n in sorted(items.items())]
             yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(out, arrow)], names=["row", "hits"])
 
-    return docs.select(F.struct("*").alias("row")).mapInArrow(run, schema)
+    return docs.select(F.struct("*").alias("row")).mapInArrow(shared.released(run), schema)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

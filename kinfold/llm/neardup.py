@@ -186,7 +186,7 @@ def only(docs: DataFrame, ids: DataFrame, folder: str) -> DataFrame:
         flush()
         yield pa.RecordBatch.from_arrays([pa.array([-1 if now is None else now], pa.int32())], names=["file"])
 
-    ids.select(part("id"), place("id")).repartition(files, "_file").sortWithinPartitions("_file").mapInArrow(write, "file int").collect()
+    ids.select(part("id"), place("id")).repartition(files, "_file").sortWithinPartitions("_file").mapInArrow(shared.released(write), "file int").collect()
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maps: dict[int, np.ndarray] = {}
@@ -202,7 +202,7 @@ def only(docs: DataFrame, ids: DataFrame, folder: str) -> DataFrame:
             if hit.any():
                 yield b.select(["doc_id", "text"]).filter(pa.array(hit))
 
-    return docs.where("doc_id is not null").select("doc_id", "text", part("doc_id"), place("doc_id")).mapInArrow(keep, "doc_id long, text string")
+    return docs.where("doc_id is not null").select("doc_id", "text", part("doc_id"), place("doc_id")).mapInArrow(shared.released(keep), "doc_id long, text string")
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, p: Params, tables: shared.Tables) -> DataFrame:
@@ -246,7 +246,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, p: Params, tables: shared.Tables)
                                     break
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
 
-    return tables.save(rows.mapInArrow(run, "a long, b long"), n_pairs)
+    return tables.save(rows.mapInArrow(shared.released(run), "a long, b long"), n_pairs)
 
 
 def components(edges: DataFrame, tables: shared.Tables) -> DataFrame:
@@ -343,7 +343,7 @@ def near_duplicates(docs: DataFrame, p: Params = Params(), tables: shared.Tables
         for b in batches:
             yield signatures(b, p)
 
-    sig = tables.save(docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, "doc_id long, text_hash long, n long, f1 long, f2 long, occ long, bands array<long>, sketch array<long>"))
+    sig = tables.save(docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(shared.released(run), "doc_id long, text_hash long, n long, f1 long, f2 long, occ long, bands array<long>, sketch array<long>"))
     real = sig.where("n > 0 and doc_id is not null")
     classes = tables.save(real.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"), F.max("occ").alias("occ"), F.max("bands").alias("bands"), F.max("sketch").alias("sketch"), F.count("*").alias("copies")))
     final = tables.save(links(classes, docs, p, tables))

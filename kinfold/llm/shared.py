@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from functools import cache, wraps
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 _OWN: dict[str, str] = {}
@@ -123,6 +127,32 @@ class Pending:
         return self.uri
 
 
+@cache
+def _trim() -> Callable[[int], int] | None:
+    """The C library's malloc_trim, where there is one."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Gives what allocators keep for later back to the system."""
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
+
+
+def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, and release() at its end: Spark's workers stay for later tasks, and what they hold idle is missing there."""
+
+    @wraps(run)
+    def whole(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return whole
+
+
 def write_file(folder: str, name: str, data: bytes) -> str:
     f = Pending(folder, name)
     f.write(data)

@@ -388,6 +388,7 @@ def write(docs, folder: str, tokenizer: str, end_id: int = 2, file_ids: int = 4_
             shared.write_file(folder, name, data)
             files.append({"file": name, "docs": sum(len(d[0]) for d in held.docs), "ids": held.ids, "bytes": len(data), "crc": zlib.crc32(data)})
             held, part = None, part + 1
+            shared.release()
 
         for b in batches:
             shards = b.column("_shard").to_numpy()
@@ -409,7 +410,7 @@ def write(docs, folder: str, tokenizer: str, end_id: int = 2, file_ids: int = 4_
         flush()
         yield pa.RecordBatch.from_pylist(files, schema=MANIFEST)
 
-    found = sorted((r.asDict() for r in ordered.mapInArrow(run, "file string, docs long, ids long, bytes long, crc long").collect()), key=lambda r: r["file"])
+    found = sorted((r.asDict() for r in ordered.mapInArrow(shared.released(run), "file string, docs long, ids long, bytes long, crc long").collect()), key=lambda r: r["file"])
     start = 0
     for r in found:
         r["start"] = start
@@ -431,6 +432,8 @@ def read(spark, folder: str, manifest: list[dict]):
     n = max(1, min(len(manifest), 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _encoders.clear()  # all is written
+        shared.release()
         for b in batches:
             for name, start, sum_ in zip(*(b.column(k).to_pylist() for k in ("file", "start", "crc"))):
                 data = shared.read_file(f"{folder}/{name}")
@@ -449,7 +452,7 @@ def read(spark, folder: str, manifest: list[dict]):
                     names=["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    return listed.repartition(n, F.col("file")).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return listed.repartition(n, F.col("file")).mapInArrow(shared.released(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def write_and_read(docs, tokenizer: str, end_id: int = 2):

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import itertools
 import math
+import os
 import random
 import re
 import zlib
@@ -14,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from kinfold.llm import decontam, langid, lm, mixing, neardup, quality, ranges, secrets, tokenids, toxicity, warc
+from kinfold.llm import decontam, langid, lm, mixing, neardup, quality, ranges, secrets, shared, tokenids, toxicity, warc
 from kinfold.llm.queries import ORACLE, QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -707,3 +708,24 @@ def test_pipeline(spark):
             assert ids == {i for i, (_, c) in want.items() if i == c}
         now = spark.createDataFrame(after.collect(), docs.schema)
     assert {r["doc_id"] for r in pipeline.STAGES[4][1](spark, now, DATA).collect()} == {r["doc_id"] for r in now.collect()}
+
+
+def test_tasks_give_their_memory_back():
+    import ctypes
+
+    if not hasattr(ctypes.CDLL(None), "malloc_trim"):
+        pytest.skip("no malloc_trim here")
+
+    def resident():
+        return int(open("/proc/self/statm").read().split()[1]) * os.sysconf("SC_PAGE_SIZE")
+
+    def run(batches):
+        parts = [bytes(60_000) for _ in range(3000)]  # freed below one that stays, so the heap can't shrink by itself
+        kept.append(bytes(60_000))
+        sizes.append(resident())
+        yield from batches
+        del parts
+
+    kept, sizes = [], []
+    assert list(shared.released(run)(iter([1, 2]))) == [1, 2]
+    assert sizes[0] - resident() > 100_000_000
