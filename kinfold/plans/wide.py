@@ -156,11 +156,11 @@ def name_feature_values(spark, d):
     ).drop("p_partkey", "b")
     text = lambda c: rows.select(F.col(c).alias("text"))
     whole = tfidf.key_idf(tfidf.key_idf(rows, "iFfL", "iFfL_idf"), "name_last", "lastname_idf")
-    f = features.block_name_features(whole, "iFfL", text("affiliation").where("text <> ''"), text("fullname"))
-    return f.select(
-        "a", "b", "has_affil", "suffix", six("lastidf", "lastidf"), six("iFfLidf", "iFfLidf"), F.round("fullname_sharedidf", 5).alias("fullname_sharedidf"),
+    values = [
+        F.col("has_affil"), F.col("suffix"), six("lastidf", "lastidf"), six("iFfLidf", "iFfLidf"), F.round("fullname_sharedidf", 5).alias("fullname_sharedidf"),
         F.round(F.nanvl("affil_sharedidf", F.lit(-1.0)), 5).alias("affil_sharedidf"), *[six(f"jarow_{n}", f"jarow_{n}") for n in ("first", "mid", "last", "firstmid", "midlast")],
-    )
+    ]
+    return features.block_name_features(whole, "iFfL", text("affiliation").where("text <> ''"), text("fullname"), values=values)
 
 
 # ---- text functions one by one
