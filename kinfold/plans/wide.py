@@ -96,30 +96,16 @@ _PAPER_SQL = with_(*_CTES) + "SELECT a, b, CAST(CAST(a IN (SELECT Id FROM awp) A
 ) + " FROM spairs"
 
 
-def text_vectors(spark, d, pa, paper, awp, dup):
-    """Vectors of authors for features.TEXTS: of the publications that their papers are in, of their papers' titles and keywords, and of
-    those of papers that they are listed on more than once."""
-    mine = relations.only_authors(pa, awp)
-    again = relations.only(mine, dup, "PaperId", "AuthorId")
-    customers = T.table(spark, d, "customer").select(F.lit("conference").alias("kind"), F.col("c_custkey").alias("pub_id"), F.concat_ws(" ", "c_mktsegment", "c_name").alias("text"))
-    pubs = tfidf.tfidf(customers, ngrams=(1, 1), key=["kind", "pub_id"])
-    titles = tfidf.tfidf(files.paper_titles(paper), ngrams=(1, 1)).withColumnRenamed("id", "paper_id")
-    return {
-        "pubTextSim": tfidf.summed_vectors(files.publications_by_author(relations.conferences(mine, paper, "conferences")), pubs, ["kind", "pub_id"]),
-        "paperTitleSim": tfidf.summed_vectors(files.paper_ids_by_author(mine), titles, ["paper_id"]),
-        "paperTitleSim_dup": tfidf.summed_vectors(files.paper_ids_by_author(again), titles, ["paper_id"]),
-    }
+def conferences(spark, d):
+    """(pub_id, text) of the publications that papers are in."""
+    return T.table(spark, d, "customer").select(F.col("c_custkey").alias("pub_id"), F.concat_ws(" ", "c_mktsegment", "c_name").alias("text"))
 
 
 @query(_PAPER_SQL)
 def paper_feature_values(spark, d):
     """Every paper feature of all pairs of suppliers of one nation."""
-    pa, paper, awp = T.paper_author(spark, d), T.paper(spark, d), T.with_papers(spark, d)
-    dup = relations.repeated_pairs(pa)
-    av = relations.all_relations(pa, paper, awp, dup)
     rows = T.table(spark, d, "supplier").join(T.table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("id"), F.lower("s_name").alias("fullname"), F.lower("n_name").alias("affiliation"))
-    f = features.block_paper_features(T.supplier_blocks(spark, d), rows, av, awp, text_vectors(spark, d, pa, paper, awp, dup))
-    return f.select("a", "b", "has_papers", *[F.round(F.col(c).cast("double"), 5).alias(c) for c in f.columns[3:]])
+    return features.block_listed_features(T.supplier_blocks(spark, d), rows, T.lines(spark, d), T.people(spark, d), T.paper(spark, d), T.with_papers(spark, d), conferences(spark, d), digits=5)
 
 
 _REC = T.REC.replace("rec AS (SELECT *,", "rec AS (SELECT *, CASE WHEN id % 3 = 0 THEN '' ELSE 'brand ' || p_brand || ' ' || p_type END AS affiliation, CASE WHEN id % 2 = 0 THEN 'jr' ELSE '' END AS name_suffix,").replace("AS name_last FROM part", "AS name_last, p_brand, p_type FROM part")
